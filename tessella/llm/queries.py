@@ -7,8 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import licenses, line_crf, ogg
-from tessella.llm.common import filled, table
+from tessella.llm import chat, licenses, line_crf, ogg, shards
+from tessella.llm.common import table
+
+
+#: Says what a conversation of the template's own control strings comes out as.
+OWN_MARKS = "</s>[INST] ok [/INST]"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(OWN_MARKS).alias("text"))
+    made = chat.format_trees(chat.threads(rows.unionByName(own)))
+    # all below is read back from the formatted texts
+    turns = chat.parse(F.col("formatted"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select("*", turns.alias("turns"), chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss")).select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP1_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, length(regexp_replace(replace(text, '\', '\\'), '([<\[])(/?s>|/?INST\]|/?SYS\]|/?TURN\]|SAYS\])', '\1\\\2', 'g'))
+    + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 11
+      ELSE 19 + length(regexp_replace(replace(role, '\', '\\'), '([<\[])(/?s>|/?INST\]|/?SYS\]|/?TURN\]|SAYS\])', '\1\\\2', 'g')) END AS chars
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id"""
 
 
 def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +80,30 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", line_crf.line_rules(weights)("text").alias("got")).select("doc_id", "got.*")
 
 
+def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+sized AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+      lambda c, b: xor(c >> 8, list_extract(t, xor(c & 255, b) + 1))), 4294967295) AS text_crc32
+  FROM documents, crc),
+ordered AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM sized),
+placed AS (
+  SELECT *, CAST(least(15, ((2 * before + size) * 16) // (2 * total)) AS INTEGER) AS shard FROM ordered)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ogg_media, op4_license_scan, op7_line_rules)}
+    return {f.__name__: f for f in (op1_chat_format, op2_ogg_media, op4_license_scan, op7_line_rules, op9_sampled_splitters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": OP1_SQL, "op9_sampled_splitters": OP9_SQL}
