@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, licenses, line_crf, ogg, shards
+from tessella.llm import chat, licenses, line_crf, ogg, packing, shards
 from tessella.llm.common import table
 
 
@@ -101,8 +102,12 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_
 FROM placed"""
 
 
+def op10_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_ogg_media, op4_license_scan, op7_line_rules, op9_sampled_splitters)}
+    return {f.__name__: f for f in (op1_chat_format, op2_ogg_media, op4_license_scan, op7_line_rules, op9_sampled_splitters, op10_linear_grouping_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
