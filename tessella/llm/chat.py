@@ -39,19 +39,19 @@ def unescape(text: Column) -> Column:
 
 
 def _doubled(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """links (tree, node, up, total, depth) carried to the roots, and its state before each doubling."""
+    """links (tree, node, up, total, depth) carried to the roots, and its open rows before each doubling."""
     hops: list[DataFrame] = []
-    links, open_before = cut(links), None
-    while True:
-        n = links.where("up is not null").count()
-        if n == 0 or n == open_before:  # as many as before: only cycles are left
-            break
-        open_before = n
-        hops.append(links.where("up is not null").select("tree", "node", "up"))
-        far = links.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        joined = links.join(far, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")), "left")
-        links = cut(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")))
-    return links.where("up is null"), hops
+    links, before = cut(links), None
+    done, active = links.where("up is null"), links.where("up is not null")
+    while (n := active.count()) and n != before:  # as many as before: only cycles are left
+        before = n
+        hops.append(active.select("tree", "node", "up"))
+        # only rows that haven't come to a root take part
+        far = done.unionAll(active).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        joined = active.join(far, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")))
+        links = cut(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")))
+        done, active = done.unionAll(links.where("up is null")), links.where("up is not null")
+    return done, hops
 
 
 def best_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import chat, licenses, line_crf, ogg, packing, shards
-from tessella.llm.common import table
+from tessella.llm.common import stored, table
 
 
 #: Says what a conversation of the template's own control strings comes out as.
@@ -19,7 +19,7 @@ OWN_MARKS = "</s>[INST] ok [/INST]"
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(OWN_MARKS).alias("text"))
-    made = chat.format_trees(chat.threads(rows.unionByName(own)))
+    made = chat.format_trees(stored(chat.threads(rows.unionByName(own))))
     # all below is read back from the formatted texts
     turns = chat.parse(F.col("formatted"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
