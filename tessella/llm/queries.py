@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, licenses, line_crf, ogg, packing, shards
+from tessella.llm import chat, language, licenses, line_crf, ngram_join, ogg, packing, quality_model, shards
 from tessella.llm.common import stored, table
 
 
@@ -70,11 +70,44 @@ def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x AS doc_id, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id, coalesce(k.links, 0) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
+LEFT JOIN (SELECT x, count(*) AS links FROM e GROUP BY x) k ON k.x = d.doc_id"""
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", licenses.scanner()("text").alias("got"))
     return found.select("doc_id", *[f"got.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
 
 
+def op5_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out("doc_id")))
+    return docs.select("doc_id", language.held_out("doc_id").alias("held_out"), language.language_of(model)("text").alias("said")).select("doc_id", "held_out", "said.*")
+
+
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.train(docs, quality_model.graded(table(spark, sf_dir, "labels")))
+    return docs.select("doc_id", quality_model.grade(model)("text").alias("said")).select("doc_id", "said.*")
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = line_crf.fit(line_crf.training_lines(docs, table(spark, sf_dir, "labels")))
@@ -107,8 +140,8 @@ def op10_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_ogg_media, op4_license_scan, op7_line_rules, op9_sampled_splitters, op10_linear_grouping_pack)}
+    return {f.__name__: f for f in (op1_chat_format, op2_ogg_media, op3_ngram_jaccard, op4_license_scan, op5_output_codes, op6_ordinal_quality, op7_line_rules, op9_sampled_splitters, op10_linear_grouping_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op9_sampled_splitters": OP9_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op9_sampled_splitters": OP9_SQL}
