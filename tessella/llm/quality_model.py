@@ -31,7 +31,8 @@ from tessella.llm.common import text_bytes
 GRADES = 3
 #: Words are hashed to so many bits.
 BITS = 24
-LEAST = 0.5
+#: Grades weigh alike in training though the best one is the most frequent, so a smaller probability will do.
+LEAST = 0.1
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _LOWER = bytes(b for b in range(256) if not 97 <= b <= 122)
