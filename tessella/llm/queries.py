@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, language, licenses, line_crf, ngram_join, ogg, packing, quality_model, shards
+from tessella.llm import chat, language, licenses, line_crf, mixing, ngram_join, ogg, packing, quality_model, shards
 from tessella.llm.common import stored, table
 
 
@@ -114,6 +114,10 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", line_crf.line_rules(weights)("text").alias("got")).select("doc_id", "got.*")
 
 
+def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_ids(table(spark, sf_dir, "documents"))
+
+
 def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -140,7 +144,7 @@ def op10_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_ogg_media, op3_ngram_jaccard, op4_license_scan, op5_output_codes, op6_ordinal_quality, op7_line_rules, op9_sampled_splitters, op10_linear_grouping_pack)}
+    return {f.__name__: f for f in (op1_chat_format, op2_ogg_media, op3_ngram_jaccard, op4_license_scan, op5_output_codes, op6_ordinal_quality, op7_line_rules, op8_temperature_mix, op9_sampled_splitters, op10_linear_grouping_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
