@@ -1,3 +1,66 @@
-"""The corpus pipeline: STAGES and run()."""
+"""The corpus pipeline: quality rules, quality classifier, n-gram Jaccard join, mixing, packing.
 
-STAGES = []
+Each stage takes the documents that its predecessor kept. All but the last return the columns of
+`documents`; the last returns the packed pieces. Rows with null texts or keys take part in every
+stage as the operators define it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import line_crf, mixing, ngram_join, packing, quality_model
+from tessella.llm.common import stored, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line rules reject go. The field is trained on the rated documents."""
+    weights = line_crf.fit(line_crf.training_lines(docs, table(spark, sf_dir, "labels")))
+    return docs.withColumn("_verdict", line_crf.line_rules(weights)("text")).where("_verdict.kept").drop("_verdict")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model rejects go. It is trained on the rated ones among them."""
+    model = quality_model.train(docs, quality_model.graded(table(spark, sf_dir, "labels")))
+    return docs.withColumn("_verdict", quality_model.grade(model)("text")).where("_verdict.kept").drop("_verdict")
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id. Of rows with equal ids, one stays."""
+    classes = ngram_join.jaccard_classes(docs)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"])
+
+
+def temperature_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents once for each time the mixture takes them."""
+    return mixing.mix_documents(docs)
+
+
+def best_fit_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("mixing sources to target weights", temperature_mix),
+    ("best-fit packing", best_fit_pack),
+]
+
+#: Trained models, iterated components and tokenizers are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what each keeps is written and read back before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
+    return docs
