@@ -90,7 +90,7 @@ class Model:
 
 def fit(rows: list[list[int]], grades: list[int], rounds: int = 120, penalty: float = 2e-4) -> Model:
     """Weights and thresholds that maximise the penalised likelihood; grades weigh alike, however many rows have them."""
-    y = np.array(grades)
+    y = np.array(grades, int)
     counts = np.bincount(y, minlength=GRADES)
     if (counts > 0).sum() < 2:
         return Model({}, [], int(y[0]) if len(y) else GRADES - 1)
