@@ -37,7 +37,8 @@ GROUPS = 24
 #: Window partitions for pieces of one length, so that a frequent length is ranked by many tasks.
 SALTS = 64
 #: ASCII punctuation but the apostrophe, between a letter or digit and white space: there the tokenizer always parts.
-_MARKS = re.compile(r"(?<=[^\W_])([!-&(-/:-@\[-`{-~]+)(?=\s|$)")
+#: Only letters that stay one letter when normalised and lower-cased; U+0130 doesn't.
+_MARKS = re.compile(r"(?<=[0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F])([!-&(-/:-@\[-`{-~]+)(?=\s|$)")
 #: Words whose ids are kept in each of two generations.
 _KEPT = 400_000
 
