@@ -28,10 +28,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Of rows with equal ids, one stays."""
+    """One document of each group stays: the one with the smallest id. Of rows with equal id and text, one stays."""
     classes = ngram_join.jaccard_classes(docs)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"])
+    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).withColumn("_text", F.xxhash64("text"))
+    return one.dropDuplicates(["doc_id", "_text"]).drop("_kept", "_text")
 
 
 def temperature_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
