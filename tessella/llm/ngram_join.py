@@ -41,6 +41,8 @@ PERCENT = 90
 SPARE = 6
 #: Rows of one tile, as long as they have THOUSAND shingles at most; longer rows count as several.
 TILE, THOUSAND = 1024, 1000
+#: Up to so many keys (8 bytes each) are broadcast to leave out texts that nothing is to be compared with.
+LISTED = 1_000_000
 #: Columns stacked for one product.
 STACKED = 1 << 20
 #: Sets below this size only link with equal ones.
@@ -295,7 +297,10 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     copies = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
     wanted = tiled(copies.join(alike, F.col("node") == F.col("of")).select("node", "first", "n", "copies", "block"))
     wanted = stored(wanted.select("first", "node", "copies", "block", "units"))
-    texts = docs.select(F.col(key).alias("k2"), F.col(text).alias("t2")).join(wanted, F.col("k2").eqNullSafe(F.col("first"))).select("t2", "node", "copies", "block", "units")
+    texts = docs.select(F.col(key).alias("k2"), F.col(text).alias("t2"))
+    if wanted.count() <= LISTED:  # else the join below shuffles all texts
+        texts = texts.join(F.broadcast(wanted.select(F.col("first").alias("k3"))), F.col("k2").eqNullSafe(F.col("k3")), "left_semi")
+    texts = texts.join(wanted, F.col("k2").eqNullSafe(F.col("first"))).select("t2", "node", "copies", "block", "units")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
