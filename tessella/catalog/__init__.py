@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules whose queries are offered.
-MODULES = ("labels", "metrics")
+MODULES = ("labels", "metrics", "ranking", "statistics", "texts", "structure")
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
