@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.plans.lineage import cut, shared_dir, stored
+
+__all__ = ["NO_ID", "WORD", "cut", "filled", "shared_dir", "stored", "table", "text_bytes"]
+
 #: A word is a run of bytes outside space and 0x09-0x0D; other Unicode spaces are part of words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows without an identifier keep it null in results; inside, they are joined under this one.
@@ -20,48 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it.
-
-    Only a local master may go without that setting; then a folder of this machine is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{tempfile.gettempdir()}/checkpoints"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back.
-
-    For results of Python stages that several later plans read: compact, computed once, and
-    readable after the executor that wrote it is gone.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessella-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(texts: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null is the empty text."""
     return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    """Words of one text: bytes.split() splits at just the six bytes that WORD excludes."""
-    return raw.split()
-
-
 def filled(name: str | Column = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))

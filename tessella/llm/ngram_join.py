@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessella.llm.common import cut, stored, text_bytes
+from tessella.operators.components import components
 
 #: Shingles are this many words; texts with fewer words are one shingle.
 SHINGLE = 3
@@ -43,6 +44,8 @@ SPARE = 6
 TILE, THOUSAND = 1024, 1000
 #: Up to so many keys (8 bytes each) are broadcast to leave out texts that nothing is to be compared with.
 LISTED = 1_000_000
+#: Words whose hashes a task keeps.
+WORDS = 200_000
 #: Columns stacked for one product.
 STACKED = 1 << 20
 #: Sets below this size only link with equal ones.
@@ -54,7 +57,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for the next text; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > WORDS:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -216,34 +219,6 @@ def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, n bigint, node bigint, marks array<bigint>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of `edges` (a, b): root is the smallest node they are connected with.
-
-    Alternating stars: each node's larger neighbours, then its smaller ones, are tied to its smallest neighbour, until nothing
-    changes. Equal edges count once; groups meet in no task, only smallest numbers do.
-    """
-
-    def star(e: DataFrame, larger: bool) -> DataFrame:
-        if larger:
-            both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-            tied = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:  # edges have a > b here
-            least = e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-            tied = e.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        return tied.where("a > b").distinct()
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    before, now = None, state(e)
-    while now != before:
-        e = cut(star(star(e, True), False))
-        before, now = now, state(e)
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
 def agreeing(rows: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all nodes with a common mark: each with the smallest of its mark."""
     marks = rows.where("node is not null").select("node", F.explode("marks").alias("mark"))

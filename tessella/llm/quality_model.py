@@ -43,7 +43,7 @@ class Hashed(dict):
     """Numbers of words, kept for the next text."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         got = self[word] = xxhash.xxh32_intdigest(word) >> (32 - BITS)
         return got
