@@ -39,8 +39,44 @@ SALTS = 64
 #: ASCII punctuation but the apostrophe, between a letter or digit and white space: there the tokenizer always parts.
 #: Only letters that stay one letter when normalised and lower-cased; U+0130 doesn't.
 _MARKS = re.compile(r"(?<=[0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F])([!-&(-/:-@\[-`{-~]+)(?=\s|$)")
+#: Letters that the tokenizer's model takes as they are once lower-cased and written as bytes.
+_PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
 #: Words whose ids are kept in each of two generations.
-_KEPT = 400_000
+_KEPT = 300_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 as it is, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Words(dict):
+    """Ids of words; a new word gets its own from the tokenizer or, if of plain letters only, from its model."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        super().__init__()
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, {}
+        self.letters = byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            said = word.decode()
+            if _PLAIN.fullmatch(said):
+                ids = [t.id for t in self.model.tokenize(said.lower().encode().decode("latin-1").translate(self.letters))]
+            else:
+                ids = self.tokenizer.encode(said, add_special_tokens=False).ids
+            got = b"".join([i.to_bytes(4, "little") for i in ids])
+        self[word] = got
+        return got
+
+    def age(self) -> None:
+        """Words not seen since the last but one call go."""
+        if len(self) > _KEPT:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -51,43 +87,14 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-
-    def _learn(self, words: set[bytes]) -> None:
-        known = words & self.old.keys()
-        self.young.update({w: self.old[w] for w in known})
-        new = sorted(words - known - self.young.keys())
-        plain = [w for w in new if w.decode().isalpha()]
-        # a word of letters is one token run with one end mark: many go through the tokenizer as one text
-        ids = np.array(self._encode([" ".join(w.decode() for w in plain)])[0] if plain else [], "<u4")
-        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(cuts) == len(plain):
-            raw, start = ids.tobytes(), 0
-            for w, stop in zip(plain, cuts.tolist(), strict=True):
-                self.young[w] = raw[start:stop]
-                start = stop
-            new = [w for w in new if w not in self.young]
-        for w, got in zip(new, self._encode([w.decode() for w in new]), strict=True):
-            self.young[w] = np.array(got, "<u4").tobytes()
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.words = Words(tokenizer)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [_MARKS.sub(r" \1", t).encode().lower().split() for t in texts]
-        seen = set().union(*parts)
-        if not seen <= self.young.keys() or len(self.young) > _KEPT:
-            if len(self.young) > _KEPT:
-                self.old, self.young = self.young, {}
-            self._learn(seen - self.young.keys())
-        get = self.young.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        self.words.age()
+        get = self.words.__getitem__
+        return [b"".join(map(get, _MARKS.sub(r" \1", t).encode().lower().split())) for t in texts]
 
 
 @functools.cache
