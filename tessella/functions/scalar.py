@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,7 +129,3 @@ def windows(items: Column, size: int, stride: int) -> Column:
     n = F.size(items)
     count = F.greatest(F.lit(0), F.ceil((n - size) / stride).cast("int")) + 1
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(items, i * stride + 1, size))
-
-
-def java_identifier(word: str) -> bool:
-    return re.fullmatch(r"[A-Za-z_]\w*", word) is not None
