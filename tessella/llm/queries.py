@@ -96,6 +96,29 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"got.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
 
 
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line,
+    list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + 4], ' ') = 'under the mit license') AS a,
+    list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + 4], ' ') = 'apache license version 2') AS b,
+    list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + 3], ' ') = 'cc by nc') AS c FROM w),
+f AS (
+  SELECT *, list_concat(list_concat(a, b), c) AS hits, list_filter(['apache-2', 'cc-by-nc', 'mit'], lambda x: len(CASE x WHEN 'mit' THEN a WHEN 'cc-by-nc' THEN c ELSE b END) > 0) AS base,
+    list_filter(['apache-2-header', 'apache-2-notice', 'bsd-text', 'cc-by-nc-notice', 'gpl-notice', 'isc-text', 'mit-grant', 'mit-text'], lambda x: regexp_matches(line, CASE x
+      WHEN 'apache-2-header' THEN ' licensed under the apache license version 2 0 (the license )?you may not use this ([^ ]+ ){1,4}except in compliance with the license '
+      WHEN 'apache-2-notice' THEN ' under the apache license version 2 '
+      WHEN 'bsd-text' THEN ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met '
+      WHEN 'cc-by-nc-notice' THEN ' licensed under (a )?(creative commons )?cc by nc (sa )?(nd )?[^ ]+ 0 '
+      WHEN 'gpl-notice' THEN ' under the terms of the gnu (lesser )?general public license as published by the free software foundation '
+      WHEN 'isc-text' THEN ' permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted '
+      WHEN 'mit-grant' THEN ' under the mit license '
+      ELSE ' permission is hereby granted free of charge to any person obtaining a copy of this software and (to )?associated documentation files (the software )?to deal in the software without restriction ' END)) AS more FROM p)
+SELECT doc_id, len(w) AS n_words, len(hits) AS n_base, list_min(hits) AS first_word, list_max(hits) AS last_word, array_to_string(base, ',') AS base_labels,
+  array_to_string(list_sort(list_concat(base, more)), ',') AS labels, CASE WHEN len(more) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM f"""
+
+
 def op5_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(~language.held_out("doc_id")))
@@ -148,4 +171,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op9_sampled_splitters": OP9_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_license_scan": OP4_SQL, "op9_sampled_splitters": OP9_SQL}
