@@ -324,7 +324,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     each = copies.join(linked, F.col("node") == F.col("of"), "left").join(counts, F.col("node") == F.col("with"), "left")
     each = each.select("node", "first", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     least = each.groupBy(F.col("root").alias("r2")).agg(F.min("first").alias("component_id"))
-    classes = each.join(least, F.col("root") == F.col("r2")).select(F.col("node").alias("of"), "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    # dealt anew, so that the join can split the rows of a large component
+    classes = each.join(least.repartition(F.xxhash64("r2")), F.col("root") == F.col("r2")).select(F.col("node").alias("of"), "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     full = rows.where("node is not null").join(classes, F.col("node") == F.col("of")).select(key, F.col("n").alias("n_shingles"), "component_id", "n_links")
     alone = rows.where("node is null").select(key, F.lit(0).cast("long").alias("n_shingles"), F.col(key).cast(kind).alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return full.unionAll(alone)

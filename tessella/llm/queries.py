@@ -101,9 +101,9 @@ WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (
   SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line,
-    list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + 4], ' ') = 'under the mit license') AS a,
-    list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + 4], ' ') = 'apache license version 2') AS b,
-    list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + 3], ' ') = 'cc by nc') AS c FROM w),
+    CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' under the mit license ') THEN list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + 4], ' ') = 'under the mit license') ELSE [] END AS a,
+    CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' apache license version 2 ') THEN list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + 4], ' ') = 'apache license version 2') ELSE [] END AS b,
+    CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' cc by nc ') THEN list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + 3], ' ') = 'cc by nc') ELSE [] END AS c FROM w),
 f AS (
   SELECT *, list_concat(list_concat(a, b), c) AS hits, list_filter(['apache-2', 'cc-by-nc', 'mit'], lambda x: len(CASE x WHEN 'mit' THEN a WHEN 'cc-by-nc' THEN c ELSE b END) > 0) AS base,
     list_filter(['apache-2-header', 'apache-2-notice', 'bsd-text', 'cc-by-nc-notice', 'gpl-notice', 'isc-text', 'mit-grant', 'mit-text'], lambda x: regexp_matches(line, CASE x
