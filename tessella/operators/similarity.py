@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.scalar import collapsed, squashed
 from tessella.operators.components import components
+from tessella.plans.lineage import stored
 
 #: A word of code: an identifier or a number; letters of any script go on an identifier.
 WORD = r"[a-zA-Z_][\p{L}\p{N}_]*|[0-9]+"
@@ -21,8 +22,14 @@ def exact_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def token_sets(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tokens): distinct tokens, sorted."""
-    return rows.select(key, F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0)))).alias("tokens"))
+    """(key, set, tokens): distinct tokens, sorted, and a digest that only equal sets share; null for the empty set. Written once."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))))
+    sets = rows.select(key, found.alias("tokens"))
+    return stored(sets.select(key, F.when(F.size("tokens") > 0, F.md5(F.array_join("tokens", " ").cast("binary"))).alias("set"), "tokens"))
+
+
+def _first(sets: DataFrame, key: str) -> DataFrame:
+    return sets.where("set is not null").groupBy("set").agg(F.min(key).alias("id"))
 
 
 def jaccard_pairs(sets: DataFrame, key: str, percent: int = 90) -> DataFrame:
@@ -32,13 +39,14 @@ def jaccard_pairs(sets: DataFrame, key: str, percent: int = 90) -> DataFrame:
     linked pair has in common first, so only these meet in a join, within the bounds of sizes.
     Empty sets pair with nothing.
     """
-    each = sets.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min(key).alias("id"))
-    n = F.size("tokens")
-    tokens = each.select("id", n.alias("n"), F.explode("tokens").alias("token"))
+    firsts = _first(sets, key).select("id")
+    each = sets.join(firsts, F.col(key) == F.col("id"), "left_semi").where("set is not null").select(F.col(key).alias("id"), "tokens")
+    tokens = each.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     rare = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
     # tokens that one set has alone come first in it, and pair with nothing
-    shared = tokens.join(rare, "token").withColumn("alone", F.col("n") - F.count("*").over(Window.partitionBy("id"))).withColumn("at", place + F.col("alone"))
+    w = Window.partitionBy("id")
+    place = F.row_number().over(w.orderBy("df", "token")) + F.col("n") - F.count("*").over(w)
+    shared = tokens.join(rare, "token").withColumn("at", place)
     prefix = shared.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "n", "token")
     a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "token") for x in "ab")
     near = a.join(b, "token").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
@@ -51,9 +59,8 @@ def jaccard_pairs(sets: DataFrame, key: str, percent: int = 90) -> DataFrame:
 def duplicate_classes(rows: DataFrame, key: str, text: str, percent: int = 90) -> DataFrame:
     """(key, class): the smallest key that a row is connected with by equal or similar token sets."""
     sets = token_sets(rows, key, text)
-    first = sets.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min(key).alias("id"))
     linked = components(jaccard_pairs(sets, key, percent).select("a", "b"))
-    named = sets.join(first, "tokens", "left").join(linked, F.col("id") == F.col("node"), "left")
+    named = sets.select(key, "set").join(_first(sets, key), "set", "left").join(linked, F.col("id") == F.col("node"), "left")
     return named.select(key, F.coalesce("root", "id", key).alias("class"))
 
 
