@@ -29,7 +29,7 @@ def token_sets(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _first(sets: DataFrame, key: str) -> DataFrame:
-    return sets.where("set is not null").groupBy("set").agg(F.min(key).alias("id"))
+    return sets.where("set is not null").groupBy("set").agg(F.min(key).alias("_first"))
 
 
 def jaccard_pairs(sets: DataFrame, key: str, percent: int = 90) -> DataFrame:
@@ -39,8 +39,8 @@ def jaccard_pairs(sets: DataFrame, key: str, percent: int = 90) -> DataFrame:
     linked pair has in common first, so only these meet in a join, within the bounds of sizes.
     Empty sets pair with nothing.
     """
-    firsts = _first(sets, key).select("id")
-    each = sets.join(firsts, F.col(key) == F.col("id"), "left_semi").where("set is not null").select(F.col(key).alias("id"), "tokens")
+    firsts = _first(sets, key).select("_first")
+    each = sets.join(firsts, F.col(key) == F.col("_first"), "left_semi").where("set is not null").select(F.col(key).alias("id"), "tokens")
     tokens = each.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     rare = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # tokens that one set has alone come first in it, and pair with nothing
@@ -60,8 +60,8 @@ def duplicate_classes(rows: DataFrame, key: str, text: str, percent: int = 90) -
     """(key, class): the smallest key that a row is connected with by equal or similar token sets."""
     sets = token_sets(rows, key, text)
     linked = components(jaccard_pairs(sets, key, percent).select("a", "b"))
-    named = sets.select(key, "set").join(_first(sets, key), "set", "left").join(linked, F.col("id") == F.col("node"), "left")
-    return named.select(key, F.coalesce("root", "id", key).alias("class"))
+    named = sets.select(key, "set").join(_first(sets, key), "set", "left").join(linked, F.col("_first") == F.col("node"), "left")
+    return named.select(key, F.coalesce("root", "_first", key).alias("class"))
 
 
 def leakage(folds: DataFrame, classes: DataFrame, key: str) -> DataFrame:
