@@ -96,9 +96,8 @@ def rule_sensitivity(reviews: DataFrame) -> DataFrame:
     c = severity_counts(reviews)
     n = F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3")
     above = n - F.col("c0")
-    median, most = aggregated(c), aggregated(c, "max")
+    median = aggregated(c)
     both = median.withColumn("most", F.when(F.col("c3") > 0, 3).when(F.col("c2") > 0, 2).when(F.col("c1") > 0, 1).otherwise(0)).withColumns({"above": above, "known": n})
-    del most
     rules = {"median_ds1": F.col("rank") >= 1, "median_ds2": F.col("rank") >= 2, "any": F.col("most") >= 1, "any_ds2": F.col("most") >= 2, "majority": F.col("above") * 2 > F.col("known"), "all": (F.col("known") > 0) & (F.col("above") == F.col("known"))}
     return both.groupBy("smell").agg(*[F.count_if(x).alias(k) for k, x in rules.items()])
 
