@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions.scalar import ratio, wilson
 
+#: Severities in order.
 SEVERITIES = ("none", "minor", "major", "critical")
-#: Severities that count as positive.
+#: Severities that count as positive under each rule.
 RULES = {"ds1": ("minor", "major", "critical"), "ds2": ("major", "critical")}
 UNIT = ("sample", "smell")
 

@@ -13,6 +13,14 @@ from tessella.functions.scalar import padded
 TOKEN = r"""[a-zA-Z_][\p{L}\p{N}_]*|[{}()\[\];,.<>=!&|+\-*/:%^~?@#]|"[^"]*"|'[^']*'|[0-9]+"""
 #: The first two ids of a vocabulary.
 PAD, UNKNOWN = 0, 1
+#: Kinds of code lines with the patterns that tell them, in the order they are tried.
+KINDS = {
+    "braces only": (r"^[{}();]*$",),
+    "comment or annotation": (r"^(//|/\*|\*|@)",),
+    "return": (r"^return",),
+    "condition, loop or try": (r"^(if|else|for|while|switch|case|do|try|catch|finally)\b",),
+    "declaration": (r"^(final\s+)?[A-Z][\w<>\[\], ?]*\s+\w+\s*(=|;)", r"^(int|long|boolean|double|float|char|byte|short)\b"),
+}
 
 
 def tokens(text: Column, cap: int | None = 512) -> Column:
@@ -48,20 +56,11 @@ def chunk_stats(rows: DataFrame, by: Sequence[str], text: str, chunk: int = 512)
 def line_kind(line: Column, first: Column) -> Column:
     """What a line of code is; the first rule that holds decides."""
     s = F.regexp_replace(line, r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
-    rules = (
-        (first, "signature"),
-        (s.rlike(r"^[{}();]*$"), "braces only"),
-        (s.rlike(r"^(//|/\*|\*|@)"), "comment or annotation"),
-        (s.startswith("return"), "return"),
-        (s.rlike(r"^(if|else|for|while|switch|case|do|try|catch|finally)\b"), "condition, loop or try"),
-        (s.rlike(r"^(final\s+)?[A-Z][\w<>\[\], ?]*\s+\w+\s*(=|;)") | s.rlike(r"^(int|long|boolean|double|float|char|byte|short)\b"), "declaration"),
-        (s.contains("=") & ~s.contains("=="), "assignment"),
-        (s.contains("("), "call"),
-    )
-    kind = F.when(rules[0][0], rules[0][1])
-    for holds, name in rules[1:]:
-        kind = kind.when(holds, name)
-    return kind.otherwise("other")
+    kind = F.when(first, "signature")
+    for name, patterns in KINDS.items():
+        for p in patterns:
+            kind = kind.when(s.rlike(p), name)
+    return kind.when(s.contains("=") & ~s.contains("=="), "assignment").when(s.contains("("), "call").otherwise("other")
 
 
 def lines(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -26,8 +28,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What `stored` has written, to be removed when the driver's Python ends.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Removes what `stored` has written; frames that read it can't be used after that."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        with contextlib.suppress(Exception):  # the session may be gone; the folder is scratch
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back."""
+    """`df` written once as Parquet in the shared folder and read back; it stays there until the driver ends."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessella-{uuid.uuid4().hex}"
+    _WRITTEN.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
