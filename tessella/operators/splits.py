@@ -64,3 +64,17 @@ def split_problems(folds: DataFrame, key: str, rows: DataFrame) -> DataFrame:
     times = folds.groupBy(key).agg(F.count("*").alias("n"))
     both = rows.select(key, F.lit(1).alias("there")).join(times, key, "full_outer")
     return both.agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("there").isNull()).alias("unknown"))
+
+
+def stratum_sample(rows: DataFrame, key: str, size: str, strata: int, each: int, seed: int = 0) -> DataFrame:
+    """`stratum` by size in equal parts, and of each the first rows by hash; as many rows as there are projects."""
+    held = rows.withColumn("stratum", F.ntile(strata).over(Window.orderBy(size, key)).cast("long"))
+    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(hashed(seed, key), key))
+    return held.withColumn("_r", rank).where(F.col("_r") <= each).drop("_r")
+
+
+def with_negatives(rows: DataFrame, key: str, y: str, ratio: float, seed: int = 0) -> DataFrame:
+    """All positives and, by hash, so many times as many negatives."""
+    rank = F.row_number().over(Window.partitionBy(y).orderBy(hashed(seed, key), key))
+    positives = F.broadcast(rows.agg(F.coalesce(F.sum(y), F.lit(0)).alias("_p")))  # one row
+    return rows.withColumn("_r", rank).join(positives).where((F.col(y) == 1) | (F.col("_r") <= F.floor(F.lit(ratio) * F.col("_p")))).drop("_r", "_p")
