@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder that holds the package.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers that start from here on import the package from where the driver did.
+
+    Workers on machines where it isn't at this path need it installed or in --py-files.
+    """
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it; only a local master may go without."""
     found = spark.conf.get("spark.checkpoint.dir", None)

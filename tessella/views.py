@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.plans.lineage import reachable
+
 #: SQL of each view; `with_views` puts those a query needs before it.
 SQL = {
     "reviews": """SELECT event_id AS id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS sample, user_id % 4 AS smell, user_id AS reviewer, ts,
@@ -35,6 +37,7 @@ def with_views(*names: str, recursive: bool = False) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

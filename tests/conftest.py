@@ -22,6 +22,9 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from tessella.plans.lineage import reachable
+
+    reachable(session)
     yield session
     session.stop()
 
