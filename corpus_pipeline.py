@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import line_crf, mixing, ngram_join, packing, quality_model
-from tessella.llm.common import stored, table
+from tessella.llm.common import reachable, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id. Of rows with equal id and text, one stays."""
+    reachable(spark)
     classes = ngram_join.jaccard_classes(docs)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).withColumn("_text", F.xxhash64("text"))
@@ -37,11 +38,13 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def temperature_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents once for each time the mixture takes them."""
+    reachable(spark)
     return mixing.mix_documents(docs)
 
 
 def best_fit_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 4096 tokens."""
+    reachable(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.plans.lineage import cut, shared_dir, stored
+from tessella.plans.lineage import cut, reachable, shared_dir, stored
 
-__all__ = ["NO_ID", "WORD", "cut", "filled", "shared_dir", "stored", "table", "text_bytes"]
+__all__ = ["NO_ID", "WORD", "cut", "filled", "reachable", "shared_dir", "stored", "table", "text_bytes"]
 
 #: A word is a run of bytes outside space and 0x09-0x0D; other Unicode spaces are part of words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,7 @@ NO_ID = -(2**63)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a scale-factor folder."""
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
