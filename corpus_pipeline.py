@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tessella.llm import line_crf, mixing, ngram_join, packing, quality_model
 from tessella.llm.common import reachable, stored, table
 
+#: Near-duplicates of the join stage: sets of five words that are alike by 0.8.
+NEAR = ngram_join.Rule(shingle=5, percent=80, agree=3, blocked=24)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules reject go. The field is trained on the rated documents."""
@@ -30,7 +33,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id. Of rows with equal id and text, one stays."""
     reachable(spark)
-    classes = ngram_join.jaccard_classes(docs)
+    classes = ngram_join.jaccard_classes(docs, rule=NEAR)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).withColumn("_text", F.xxhash64("text"))
     return one.dropDuplicates(["doc_id", "_text"]).drop("_kept", "_text")

@@ -7,13 +7,21 @@ by such agreement make a row block; large ones are tiled by size and hash. Each
 multiplied in one task: overlap counts accumulate over the shingles that both rows have, and pairs
 below the bounds that the two sizes set are discarded, most of them before counting.
 
-Two sets link when 100 * |A and B| >= PERCENT * |A or B|; a component is what links connect.
+Two sets link when 100 * |A and B| >= percent * |A or B|; a component is what links connect. A `Rule`
+holds the percentage and the words of a shingle; by itself it is 3 words and 90.
 
 Exactness. Shingles are 64-bit hashes. A linked pair agrees in SPARE blocks at least; it would be
 missed only if all shingles it shares lay outside these, which for the smallest sets that can link
 without being equal (9 shingles) has a chance below 1e-6, and far less for larger ones. Equal sets
 are linked by a hash of the set and its size.
 
+Lower percentages need more and so smaller blocks, in which texts agree by chance. A rule can ask for
+agreement in several blocks then (`agree`): sets of COUNTED shingles and more that meet in few-row
+blocks only make a row block when they agree in so many; those that meet in a block of more than
+GROUP rows always do. As differing shingles fall into blocks at random, a linked pair agrees in 3
+except with a chance below 1e-8 from 121 shingles on at 80 percent. Sets below `blocked` shingles are
+found by their first shingles in the order of hashes, one of which a linked pair always has in common.
+
 Null and empty texts: 0 shingles, a component of their own, no links. Texts with fewer words than a
 shingle are one shingle. Repeated rows and equal sets are links of each other. Rows with a null key
 take part; a component's smallest key leaves nulls out. An empty table gives no rows. Other columns
@@ -23,6 +31,7 @@ of the table are left out.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +57,34 @@ LISTED = 1_000_000
 WORDS = 200_000
 #: Columns stacked for one product.
 STACKED = 1 << 20
-#: Sets below this size only link with equal ones.
-SMALLEST = 9
+#: Sets from this size on are counted where a rule asks for agreement in several blocks.
+COUNTED = 121
+#: Up to so many rows of a block are counted in pairs.
+GROUP = 100
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+@dataclass(frozen=True)
+class Rule:
+    """When two texts link, and how pairs that may link are found."""
+
+    #: Words of a shingle.
+    shingle: int = SHINGLE
+    percent: int = PERCENT
+    #: Column blocks in which large sets must agree to be compared.
+    agree: int = 1
+    #: Pairs whose smaller set is below this size are found by first shingles, not by column blocks.
+    blocked: int = 9
+
+    @property
+    def smallest(self) -> int:
+        """Sets below this size only link with equal ones."""
+        return -(-self.percent // (100 - self.percent))
+
+
+RULE = Rule()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the next text; emptied when large."""
 
@@ -70,15 +102,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(raw: bytes, words: WordHashes) -> np.ndarray:
+def shingles(raw: bytes, words: WordHashes, size: int = SHINGLE) -> np.ndarray:
     """The sorted set of a text's shingles, as 64-bit hashes."""
     said = raw.lower().split()  # bytes: A-Z only, and just the white space that parts words
     if not said:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(words.__getitem__, said), np.uint64, len(said))
-    if len(said) < SHINGLE:
+    if len(said) < size:
         return mixed(np.array([np.bitwise_xor.reduce(mixed(h + np.arange(1, len(h) + 1, dtype=np.uint64))) ^ np.uint64(len(h))]))
-    return np.unique(mixed(((h[:-2] * _A) ^ (h[1:-1] >> np.uint64(7))) * _B + h[1:-1] * _C + h[2:]))
+    many = len(h) - size + 1
+    run = h[:many]
+    for i in range(1, size):
+        run = (run ^ (run >> np.uint64(32))) * _A + h[i : i + many]
+    return np.unique(mixed(run))
 
 
 def set_number(sets: np.ndarray) -> int:
@@ -86,43 +122,49 @@ def set_number(sets: np.ndarray) -> int:
     return int((mixed(np.array([np.bitwise_xor.reduce(mixed(sets + _C))]) + np.uint64(len(sets)))).view(np.int64)[0])
 
 
-def size_class(n: int) -> tuple[int, int]:
+def size_class(n: int, rule: Rule = RULE) -> tuple[int, int]:
     """Class of a set size and the smallest size of that class; classes grow by half."""
-    c, low = 0, SMALLEST
+    c, low = 0, rule.blocked
     while n >= (high := low * 3 // 2):
         c, low = c + 1, high
     return c, low
 
 
-def column_blocks(low: int) -> int:
+def column_blocks(low: int, rule: Rule = RULE) -> int:
     """Into how many column blocks the class that starts at `low` parts the shingles."""
     most = low * 3 // 2 - 1
-    # the smaller set of a linked pair is in the class; the larger one has 100 / PERCENT of its size at most
-    both = most + most * 100 // PERCENT
-    return both * (100 - PERCENT) // (100 + PERCENT) + SPARE
+    # the smaller set of a linked pair is in the class; the larger one has 100 / percent of its size at most
+    both = most + most * 100 // rule.percent
+    return both * (100 - rule.percent) // (100 + rule.percent) + SPARE
 
 
-def block_marks(sets: np.ndarray) -> np.ndarray:
-    """A number for what the set has in each column block where it has anything, for each class it is compared in."""
+def block_marks(sets: np.ndarray, rule: Rule = RULE) -> np.ndarray:
+    """A number for what the set has in each column block where it has anything, for each class it is compared in.
+
+    Odd numbers are those of which a pair must have `agree` in common. Small sets have their first shingles.
+    """
     n = len(sets)
-    if n < SMALLEST:
-        return np.empty(0, np.uint64)
-    c, low = size_class(n)
+    out = [np.empty(0, np.uint64)]
+    if rule.smallest <= n and n * rule.percent < rule.blocked * 100 and rule.smallest < rule.blocked:
+        out.append(mixed(sets[: n + 1 - -(-rule.percent * n // 100)] + _A) & ~np.uint64(1))
+    if n < rule.blocked:
+        return np.concatenate(out)
+    c, low = size_class(n, rule)
     kinds = [(c, low)]
-    if c and (low - 1) * 100 >= PERCENT * n:
-        kinds.append(size_class(low - 1))
-    out = []
+    if c and (low - 1) * 100 >= rule.percent * n:
+        kinds.append(size_class(low - 1, rule))
     spread = mixed(sets + _B)
     for k, at in kinds:
-        block = (sets >> np.uint64(32)) * np.uint64(column_blocks(at)) >> np.uint64(32)  # grows with the hash
+        block = (sets >> np.uint64(32)) * np.uint64(column_blocks(at, rule)) >> np.uint64(32)  # grows with the hash
         first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        out.append(mixed(np.add.reduceat(spread, first) + mixed(block[first] * _A + np.uint64(k))))
+        marks = mixed(np.add.reduceat(spread, first) + mixed(block[first] * _A + np.uint64(k)))
+        out.append(marks | np.uint64(1) if rule.agree > 1 and at >= COUNTED else marks & ~np.uint64(1))
     return np.concatenate(out)
 
 
-def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def least_overlap(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The overlap from which sets of these sizes link."""
-    return -(-(PERCENT * (a + b)) // (100 + PERCENT))
+    return -(-(percent * (a + b)) // (100 + percent))
 
 
 class Incidence:
@@ -145,7 +187,7 @@ class Incidence:
         return self.columns[self.starts[i] : self.starts[i + 1]]
 
 
-def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
     """(i, some j > i that link with row i), until all are told; with `side`, only pairs whose rows are on different sides.
 
     A row's first size - bound + 1 columns, rarest first, must hold one that the other row has too,
@@ -155,7 +197,7 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iter
     """
     m = Incidence(sets)
     n = len(sets)
-    prefix = m.sizes - -(-PERCENT * m.sizes // 100) + 1
+    prefix = m.sizes - -(-percent * m.sizes // 100) + 1
     spans = [m.row(i)[: prefix[i]] for i in range(n)]
     holder = np.repeat(np.arange(n), [len(s) for s in spans])
     column = np.concatenate(spans)
@@ -172,8 +214,8 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iter
         if side is not None:
             other = other[side[other] != side[i]]
         a, b = m.sizes[i], m.sizes[other]
-        need = least_overlap(a, b)
-        other = other[(need <= np.minimum(min(a, shared[i]), shared[other])) & (PERCENT * np.maximum(a, b) <= 100 * np.minimum(a, b))]
+        need = least_overlap(a, b, percent)
+        other = other[(need <= np.minimum(min(a, shared[i]), shared[other])) & (percent * np.maximum(a, b) <= 100 * np.minimum(a, b))]
         if not len(other):
             continue
         mark[m.row(i)] = True
@@ -184,13 +226,13 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iter
                 ends = np.cumsum(lengths)
                 stacked = m.columns[np.arange(ends[-1]) + np.repeat(m.starts[some] - ends + lengths, lengths)]
                 overlap = np.add.reduceat(mark[stacked].astype(np.int64), ends - lengths)
-                some = some[overlap >= least_overlap(a, lengths)]
+                some = some[overlap >= least_overlap(a, lengths, percent)]
                 if len(some):
                     yield i, some
         mark[m.row(i)] = False
 
 
-def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+def marked(docs: DataFrame, key: str, text: str, rule: Rule = RULE) -> DataFrame:
     """(key, n, node, marks) of each row: set size, number of the set (null: no shingle), marks of its column blocks.
 
     A task leaves out the marks of sets it has had before, so copies don't multiply.
@@ -203,7 +245,7 @@ def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
                 part = batch.slice(at, 512)
                 sizes, nodes, marks = [], [], []
                 for raw in text_bytes(part.column(1)):
-                    sets = shingles(raw, words)
+                    sets = shingles(raw, words, rule.shingle)
                     node = set_number(sets) if len(sets) else None
                     new = node is not None and node not in seen
                     if new:
@@ -212,27 +254,42 @@ def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
                         seen.add(node)
                     sizes.append(len(sets))
                     nodes.append(node)
-                    marks.append(block_marks(sets).view(np.int64) if new else [])
+                    marks.append(block_marks(sets, rule).view(np.int64) if new else [])
                 arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, [key, "n", "node", "marks"])
 
     return docs.select(key, text).mapInArrow(rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, n bigint, node bigint, marks array<bigint>")
 
 
-def agreeing(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all nodes with a common mark: each with the smallest of its mark."""
+def agreeing(rows: DataFrame, agree: int = 1) -> DataFrame:
+    """Edges (a, b) that connect all nodes with a common mark: each with the smallest of its mark.
+
+    Nodes that meet at odd marks of GROUP rows at most are connected when they have `agree` of these.
+    """
     marks = rows.where("node is not null").select("node", F.explode("marks").alias("mark"))
-    least = F.min("node").over(Window.partitionBy("mark"))
-    return marks.select(F.col("node").alias("a"), least.alias("b")).where("a > b").distinct()
+    of = Window.partitionBy("mark")
+    least = F.min("node").over(of)
+    if agree == 1:
+        return marks.select(F.col("node").alias("a"), least.alias("b")).where("a > b").distinct()
+    before = F.collect_set("node").over(of.orderBy("node").rowsBetween(-GROUP, -1))
+    held = marks.select("node", "mark", least.alias("least"), F.count("*").over(of).alias("n"), before.alias("before")).where("n > 1")
+    counted = (F.col("n") <= GROUP) & (F.col("mark").bitwiseAND(F.lit(1)) == 1)
+
+    def edge(b: Column, times: int) -> Column:
+        return F.struct(b.alias("b"), F.lit(times).alias("times"))
+
+    edges = F.when(counted, F.transform("before", lambda x: edge(x, 1))).otherwise(F.array(edge(F.col("least"), agree)))
+    each = held.select(F.col("node").alias("a"), F.explode(edges).alias("e")).select("a", "e.b", "e.times").where("a > b")
+    return each.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= agree).select("a", "b")
 
 
-def tiled(rows: DataFrame) -> DataFrame:
+def tiled(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """rows (block, node, n, ...) with `units`, the tile pairs that each takes part in and on which side.
 
     A row block that fits one tile is one. Others are parted by size band, so that linked rows are
     in one band or in neighbouring ones, and by hash inside a band.
     """
-    width = float(np.log(100 / PERCENT) * 1.0001)
+    width = float(np.log(100 / percent) * 1.0001)
     banded = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
     load = F.sum(F.greatest(F.lit(1.0), F.col("n") / THOUSAND)) / TILE
     counts = banded.groupBy("block", "band").agg(load.alias("load"))
@@ -261,16 +318,16 @@ def tiled(rows: DataFrame) -> DataFrame:
     return held.withColumn("units", F.when(F.col("all") <= 1, alone).otherwise(F.concat(same, above, below))).drop("band", "of", "all", "tiles")
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """(key, n_shingles, component_id, n_links) of every row.
 
     n_links counts the other rows it links with, copies included.
     """
-    rows = stored(marked(docs, key, text))
+    rows = stored(marked(docs, key, text, rule))
     kind = docs.schema[key].dataType.simpleString()
-    alike = components(agreeing(rows)).select(F.col("node").alias("of"), F.col("root").alias("block"))
+    alike = components(agreeing(rows, rule.agree)).select(F.col("node").alias("of"), F.col("root").alias("block"))
     copies = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    wanted = tiled(copies.join(alike, F.col("node") == F.col("of")).select("node", "first", "n", "copies", "block"))
+    wanted = tiled(copies.join(alike, F.col("node") == F.col("of")).select("node", "first", "n", "copies", "block"), rule.percent)
     wanted = stored(wanted.select("first", "node", "copies", "block", "units"))
     texts = docs.select(F.col(key).alias("k2"), F.col(text).alias("t2"))
     if wanted.count() <= LISTED:  # else the join below shuffles all texts
@@ -282,7 +339,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingles(raw, words) for raw in text_bytes(part.column(0))]
+                sets = [shingles(raw, words, rule.shingle) for raw in text_bytes(part.column(0))]
                 # a key with several texts brings them all; only the text of this set counts
                 keep = [bool(len(s)) and set_number(s) == node for s, node in zip(sets, part.column(1).to_pylist(), strict=True)]
                 arrays = [*part.columns[1:], pa.array([s.view(np.int64) if k else [] for s, k in zip(sets, keep, strict=True)], pa.list_(pa.int64()))]
@@ -308,7 +365,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 i = root[i]
             return i
 
-        for i, others in linked_pairs(held, None if (sides == 0).all() else sides):
+        for i, others in linked_pairs(held, None if (sides == 0).all() else sides, rule.percent):
             links[i] += copies[others].sum()
             links[others] += copies[i]
             for j in others:

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -236,6 +237,56 @@ def test_linked_pairs_agree_in_column_blocks():
             assert set(ngram_join.block_marks(a).tolist()) & set(ngram_join.block_marks(b).tolist())
 
 
+def near_texts(seed, sizes):
+    rng = random.Random(seed)
+    texts = []
+    for size in sizes:
+        base = words(rng, size, 10**6)
+        for _ in range(25):
+            near = base[: size - rng.randrange(1 + size // 12)]
+            for _ in range(rng.randrange(1 + size // 60)):
+                near[rng.randrange(len(near))] = f"e{rng.randrange(9)}"
+            texts.append(" ".join(near))
+    return texts
+
+
+def brute_links(texts, size, percent):
+    """Components (smallest position) and links by comparing all pairs of sets of `size` words."""
+    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or {tuple(w)} for w in (t.split() for t in texts)]
+    root, links = list(range(len(sets))), [0] * len(sets)
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            links[i], links[j] = links[i] + 1, links[j] + 1
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    return {i: (len(s), root[i], links[i]) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("group", [100, 5])
+def test_pipeline_joins_five_words_from_eight_tenths(spark, monkeypatch, group):
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    texts = near_texts(13, (8, 9, 12, 20, 28, 33, 60, 130, 190, 300, 700))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_classes(df, rule=corpus_pipeline.NEAR).collect()}
+    want = brute_links(texts, 5, 80)
+    assert got == want
+    assert want != brute_links(texts, 5, 90)
+    kept = {r.doc_id for r in corpus_pipeline.ngram_jaccard(spark, df, "").collect()}
+    assert kept == {i for i, (_, top, _) in want.items() if top == i}
+
+
+def test_linked_pairs_agree_in_as_many_marks_as_the_rule_asks():
+    rng, rule = np.random.default_rng(6), corpus_pipeline.NEAR
+    for n in [*range(4, 60), *rng.integers(60, 900, 400).tolist()]:
+        gone = int(rng.integers(0, n // 5 + 1))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 2**64, int(rng.integers(0, n // 9 + 1)), dtype=np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            common = set(ngram_join.block_marks(a, rule).tolist()) & set(ngram_join.block_marks(b, rule).tolist())
+            assert any(x % 2 == 0 for x in common) or len(common) >= rule.agree
+
+
 # --- licenses -------------------------------------------------------------------------------
 
 
