@@ -101,6 +101,26 @@ def encoded_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("json_index", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
+# the vocabulary of the reference's size, 10,000 with the two reserved ids
+_VOCAB_10000 = _VOCAB.replace("r <= 1998", "r <= 9998")
+
+
+def _vocabulary_10000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.vocabulary(snippets(spark, sf_dir), "code", "json_index")
+
+
+@query(_VOCAB_10000 + " SELECT * FROM v")
+def vocab_topk_10000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary_10000(spark, sf_dir)
+
+
+@query(_VOCAB_10000 + """, e AS (SELECT q.json_index, list(coalesce(v.id, 1) ORDER BY pos) AS ids FROM q LEFT JOIN v ON v.token = q.token GROUP BY q.json_index)
+  SELECT s.json_index, array_to_string(list_resize(coalesce(ids, []), 512, 0), ' ') AS ids FROM snippets s LEFT JOIN e ON e.json_index = s.json_index""")
+def encoded_padded_10000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = text.encoded(snippets(spark, sf_dir), "json_index", "code", _vocabulary_10000(spark, sf_dir))
+    return out.select("json_index", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
 @query(_TOKENS + """, c AS (SELECT level, len(w) AS n, greatest(1, CAST(ceil(len(w) / 512) AS BIGINT)) AS c FROM k)
   SELECT level, count(*) AS texts, CAST(sum(n) AS BIGINT) AS tokens, max(n) AS longest, CAST(sum(c) AS BIGINT) AS chunks, count(*) FILTER (c > 1) AS chunked FROM c GROUP BY level""")
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,11 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_vocabulary_has_the_reference_size(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    ids = sorted(r.id for r in catalog.QUERIES["vocab_topk_10000"](spark, sf_dir).collect())
+    assert ids == list(range(2, 10_000))
+    most = max(int(x) for r in catalog.QUERIES["encoded_padded_10000"](spark, sf_dir).collect() for x in r.ids.split())
+    assert most == 9999
