@@ -34,8 +34,6 @@ from tessella.llm.common import stored
 CAPACITY, END = 4096, 1
 #: Lengths above a third of the capacity go to so many groups.
 GROUPS = 24
-#: Window partitions for pieces of one length, so that a frequent length is ranked by many tasks.
-SALTS = 64
 #: ASCII punctuation but the apostrophe, between a letter or digit and white space: there the tokenizer always parts.
 #: Only letters that stay one letter when normalised and lower-cased; U+0130 doesn't.
 _MARKS = re.compile(r"(?<=[0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F])([!-&(-/:-@\[-`{-~]+)(?=\s|$)")
@@ -82,19 +80,32 @@ class Words(dict):
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers, by a tokenizer that drops white space and parts there.
 
-    Words of a text are what white space parts, after A-Z became a-z and trailing punctuation was
-    parted off; the tokenizer does both itself, so the ids of the words in turn are the text's.
+    The vocabulary's added tokens (`<|endoftext|>` and the like) are one id each wherever their exact
+    string stands, as the tokenizer has it by default; a text is parted there first. Words of the
+    parts are what white space parts, after A-Z became a-z and trailing punctuation was parted off;
+    the tokenizer does both itself, so the ids of the words in turn are the text's.
     """
 
     def __init__(self, path: str) -> None:
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = True  # words have none left; lower-casing mustn't make any
         self.words = Words(tokenizer)
+        self.added = {t.content: i.to_bytes(4, "little") for i, t in tokenizer.get_added_tokens_decoder().items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.parted = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        return b"".join(map(self.words.__getitem__, _MARKS.sub(r" \1", text).encode().lower().split()))
+
+    def ids(self, text: str) -> bytes:
+        if not self.parted or not any(t in text for t in self.added):
+            return self.plain(text)
+        return b"".join(self.added.get(part) or self.plain(part) for part in self.parted.split(text))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         self.words.age()
-        get = self.words.__getitem__
-        return [b"".join(map(get, _MARKS.sub(r" \1", t).encode().lower().split())) for t in texts]
+        return [self.ids(t) for t in texts]
 
 
 @functools.cache
@@ -104,11 +115,11 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """A row for each piece: key, piece, start, length, ids_crc32; task and nth number the rows for ranking."""
+    """A row for each piece: id (the key), piece, start, length, ids_crc32; task, and nth, its place among the task's pieces of its length."""
     last = end.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, nth = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, task, nth = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -118,13 +129,13 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                     n = len(ids) // 4
                     for p, start in enumerate(range(0, n, capacity)):
                         size = min(capacity, n - start)
-                        rows.append((k, p, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), task, nth))
-                        nth += 1
+                        rows.append((k, p, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), task, nth[size]))
+                        nth[size] += 1
                 kinds = [part.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [key, "piece", "start", "length", "ids_crc32", "task", "nth"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(cut, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(cut, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint")
 
 
 def grouped(counts: dict[int, int], groups: int = GROUPS) -> list[tuple[int, dict[int, int]]]:
@@ -300,13 +311,12 @@ def _drawn(supply: list[list[int]], n: int) -> int:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """`rank` of each piece among those of its length, counted over salted parts of the length."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("task", "nth"), F.lit(SALTS)).cast("int"))
-    cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "salt").orderBy("task", "nth")
-    return salted.withColumn("within", F.row_number().over(inside)).join(cells, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1)
+    """`rank` of each piece among those of its length: the pieces of tasks before its own, then its place in its task."""
+    cells = rows.groupBy("length", "task").agg(F.count("*").alias("n"))
+    # a row for each task that has the length
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(cells, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -317,7 +327,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     # length and first rank as one number that sorts alike
     shift = 1 << 48
     starts = table[:, 0] * shift + table[:, 1]
-    names = [key, "piece", "start", "length", "ids_crc32"]
+    names = ["id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,4 +338,5 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([*batch.columns[:5], *new], [*names, "sequence_id", "offset"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return ranked(rows).select(*names, "rank").mapInArrow(place, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    placed = ranked(rows).select(*names, "rank").mapInArrow(place, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return placed.select(F.col("id").alias(key), *placed.columns[1:])

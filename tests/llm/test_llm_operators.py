@@ -588,9 +588,9 @@ def test_encoder_gives_the_tokenizers_ids():
     tokenizer = Tokenizer.from_file(VOCABULARY)
     encode = packing.Encoder(VOCABULARY)
     rng = random.Random(12)
-    parts = ["word", "Größe", "É", "é", "İ", "ß", "don't", "it's,", "x.", "!!,", "a_b", "_", "12", "3rd.", "½", " ", " ", "\u0085", " ", "  ", "\n", "-", "a-", "$$$", "w***", "日本", "😀", "l'été,", "¿Qué?", "ñ.", "<|endoftext|>", "a​b", "\x1c", "'s", "'", "x'."]
+    parts = ["word", "Größe", "É", "é", "İ", "ß", "don't", "it's,", "x.", "!!,", "a_b", "_", "12", "3rd.", "½", " ", " ", "\u0085", " ", "  ", "\n", "-", "a-", "$$$", "w***", "日本", "😀", "l'été,", "¿Qué?", "ñ.", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "a​b", "\x1c", "'s", "'", "x'."]
     texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(30))) for _ in range(600)]
-    tokenizer.encode_special_tokens = True
+    texts += ["hello <|endoftext|> x", "a<|endoftext|><|startoftext|>b.", "<|endoftext|>", "<|endoftext|>'s", "x<|endoftext|>, y!"]
     for text, got in zip(texts, encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
