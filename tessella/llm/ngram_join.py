@@ -2,25 +2,32 @@
 
 Rows of the matrix are distinct sets of word shingles, columns are shingles. The columns are parted
 into blocks by hash, more blocks than a linked pair of a size class can differ in; so the rows of a
-linked pair agree in some blocks, and only rows that agree in one can link. Rows that are connected
-by such agreement make a row block; large ones are tiled by size and hash. Each pair of tiles is
-multiplied in one task: overlap counts accumulate over the shingles that both rows have, and pairs
-below the bounds that the two sizes set are discarded, most of them before counting.
+linked pair agree in some blocks, and each block a row has anything in gives it a mark. Of the rows
+that have a mark in common the one with the smallest number stands for the mark, and all rows that
+share marks with it make a row block: rows that agree in a mark meet in the block of its
+representative, and nothing is closed transitively. Large row blocks are tiled by size and hash. The
+incidence matrices of two tiles are multiplied block of columns by block of columns, overlap counts
+accumulate, and pairs below the bounds that the two sizes set are discarded: rows that can't reach
+their own bound with the columns that others have go before the product, pairs after it. A pair that
+meets in several row blocks counts in the smallest one of both.
 
 Two sets link when 100 * |A and B| >= percent * |A or B|; a component is what links connect. A `Rule`
 holds the percentage and the words of a shingle; by itself it is 3 words and 90.
 
 Exactness. Shingles are 64-bit hashes. A linked pair agrees in SPARE blocks at least; it would be
 missed only if all shingles it shares lay outside these, which for the smallest sets that can link
-without being equal (9 shingles) has a chance below 1e-6, and far less for larger ones. Equal sets
-are linked by a hash of the set and its size.
-
-Lower percentages need more and so smaller blocks, in which texts agree by chance. A rule can ask for
-agreement in several blocks then (`agree`): sets of COUNTED shingles and more that meet in few-row
-blocks only make a row block when they agree in so many; those that meet in a block of more than
-GROUP rows always do. As differing shingles fall into blocks at random, a linked pair agrees in 3
-except with a chance below 1e-8 from 121 shingles on at 80 percent. Sets below `blocked` shingles are
-found by their first shingles in the order of hashes, one of which a linked pair always has in common.
+without being equal (9 shingles) has a chance below 1e-6, and far less for larger ones. Sets of more
+than MARKS blocks mark only the first MARKS of them: as the differing shingles of a pair fall into
+blocks at random, a pair just at the bound agrees in 0.36 of these on average, 29 of 80. Sets of
+COUNTED shingles and more leave out the row blocks that their fewest marks lead to, up to
+`rule.left_out` marks of a class; so pairs must agree in twice as many marks and one, 5, which fails
+with a chance below 1e-8. Equal sets are linked by a hash of the set and its size. Sets below
+`blocked` shingles are found by their first shingles in the order of hashes, one of which a linked
+pair always has in common.
+
+Scale. Only marks are shuffled, 160 for a text at most, never shingles; texts that no row block
+wants stay where they are. Marks that many rows have are found in a sample of the rows, MOST_HOT at
+most; their representatives are broadcast, so that no task gets all rows of a mark.
 
 Null and empty texts: 0 shingles, a component of their own, no links. Texts with fewer words than a
 shingle are one shingle. Repeated rows and equal sets are links of each other. Rows with a null key
@@ -49,18 +56,20 @@ SHINGLE = 3
 PERCENT = 90
 #: Column blocks beyond those that a linked pair can differ in.
 SPARE = 6
+#: Column blocks that give marks, of as many as there are.
+MARKS = 80
 #: Rows of one tile, as long as they have THOUSAND shingles at most; longer rows count as several.
 TILE, THOUSAND = 1024, 1000
 #: Up to so many keys (8 bytes each) are broadcast to leave out texts that nothing is to be compared with.
 LISTED = 1_000_000
 #: Words whose hashes a task keeps.
 WORDS = 200_000
-#: Columns stacked for one product.
-STACKED = 1 << 20
-#: Sets from this size on are counted where a rule asks for agreement in several blocks.
+#: Columns of one block of the product.
+COLUMNS = 4096
+#: Sets from this size on leave out row blocks that few of their marks lead to.
 COUNTED = 121
-#: Up to so many rows of a block are counted in pairs.
-GROUP = 100
+#: One row in SAMPLE tells which marks are hot: those that HOT sampled rows have, MOST_HOT at most.
+SAMPLE, HOT, MOST_HOT = 64, 16, 50_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -71,8 +80,8 @@ class Rule:
     #: Words of a shingle.
     shingle: int = SHINGLE
     percent: int = PERCENT
-    #: Column blocks in which large sets must agree to be compared.
-    agree: int = 1
+    #: Column blocks in which large sets must agree to be compared; odd.
+    agree: int = 5
     #: Pairs whose smaller set is below this size are found by first shingles, not by column blocks.
     blocked: int = 9
 
@@ -81,6 +90,11 @@ class Rule:
         """Sets below this size only link with equal ones."""
         return -(-self.percent // (100 - self.percent))
 
+    @property
+    def left_out(self) -> int:
+        """Marks of a class that a large set may leave out."""
+        return (self.agree - 1) // 2
+
 
 RULE = Rule()
 
@@ -139,14 +153,16 @@ def column_blocks(low: int, rule: Rule = RULE) -> int:
 
 
 def block_marks(sets: np.ndarray, rule: Rule = RULE) -> np.ndarray:
-    """A number for what the set has in each column block where it has anything, for each class it is compared in.
+    """A number for what the set has in each marked column block, for each class it is compared in.
 
-    Odd numbers are those of which a pair must have `agree` in common. Small sets have their first shingles.
+    The last bit is 1 for classes of large sets, of whose marks a pair has `agree` in common; the five
+    bits before it tell the class. Small sets have their first shingles.
     """
     n = len(sets)
     out = [np.empty(0, np.uint64)]
+    tag = np.uint64(63)
     if rule.smallest <= n and n * rule.percent < rule.blocked * 100 and rule.smallest < rule.blocked:
-        out.append(mixed(sets[: n + 1 - -(-rule.percent * n // 100)] + _A) & ~np.uint64(1))
+        out.append(mixed(sets[: n + 1 - -(-rule.percent * n // 100)] + _A) & ~tag | np.uint64(62))
     if n < rule.blocked:
         return np.concatenate(out)
     c, low = size_class(n, rule)
@@ -156,9 +172,12 @@ def block_marks(sets: np.ndarray, rule: Rule = RULE) -> np.ndarray:
     spread = mixed(sets + _B)
     for k, at in kinds:
         block = (sets >> np.uint64(32)) * np.uint64(column_blocks(at, rule)) >> np.uint64(32)  # grows with the hash
+        block = block[: np.searchsorted(block, MARKS)]
+        if not len(block):
+            continue
         first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        marks = mixed(np.add.reduceat(spread, first) + mixed(block[first] * _A + np.uint64(k)))
-        out.append(marks | np.uint64(1) if rule.agree > 1 and at >= COUNTED else marks & ~np.uint64(1))
+        marks = mixed(np.add.reduceat(spread[: len(block)], first) + mixed(block[first] * _A + np.uint64(k)))
+        out.append(marks & ~tag | np.uint64(2 * (k % 31) + (rule.left_out > 0 and at >= COUNTED)))
     return np.concatenate(out)
 
 
@@ -167,73 +186,94 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.nd
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-class Incidence:
-    """Rows of sets over a vocabulary of their own, whose columns are numbered from the rarest on."""
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sizes = np.array([len(s) for s in sets])
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
-        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        order = np.empty(len(times), np.int64)
-        order[np.argsort(times, kind="stable")] = np.arange(len(times))
-        row = np.repeat(np.arange(len(sets)), self.sizes)
-        column = order[column]
-        self.columns = column[np.lexsort((column, row))]
-        self.width = len(times)
-        #: Columns of a row that no other row has: they are missing from any overlap.
-        self.own = np.bincount(row, weights=times[np.argsort(times, kind="stable")][self.columns] == 1, minlength=len(sets)).astype(int)
-
-    def row(self, i: int) -> np.ndarray:
-        return self.columns[self.starts[i] : self.starts[i + 1]]
-
-
-def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, some j > i that link with row i), until all are told; with `side`, only pairs whose rows are on different sides.
-
-    A row's first size - bound + 1 columns, rarest first, must hold one that the other row has too,
-    so only these are looked up. A pair's bound also has to be within reach of the columns that
-    aren't one row's own. The overlaps of a row with all rows left are one product of its column
-    marks and their stacked columns.
+def reachable_rows(row: np.ndarray, column: np.ndarray, sizes: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (row, column) entries that can matter: of columns that a partner has too, of rows that enough such columns are left of."""
+    least = -(-percent * sizes // 100)  # a linked set shares so much of its own size
+    while len(row):
+        width = int(column.max()) + 1
+        if side.any():
+            use = (np.bincount(column[side[row] == 1], minlength=width) > 0) & (np.bincount(column[side[row] == 2], minlength=width) > 0)
+        else:
+            use = np.bincount(column, minlength=width) > 1
+        held = use[column]
+        held &= (np.bincount(row[held], minlength=len(sizes)) >= least)[row]
+        if held.all():
+            break
+        row, column = row[held], column[held]
+    return row, column
+
+
+def linked_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """All i and j of linked rows, i < j; with sides 1 and 2, only pairs of rows on different sides.
+
+    The columns of the tiles' incidence matrices are ordered by the first row that has them and
+    parted into blocks; of each block only the rows that have anything in it are multiplied.
     """
-    m = Incidence(sets)
-    n = len(sets)
-    prefix = m.sizes - -(-percent * m.sizes // 100) + 1
-    spans = [m.row(i)[: prefix[i]] for i in range(n)]
-    holder = np.repeat(np.arange(n), [len(s) for s in spans])
-    column = np.concatenate(spans)
-    order = np.lexsort((holder, column))
-    holder, first = holder[order], np.searchsorted(column[order], np.arange(m.width + 1))
-    mark = np.zeros(m.width, bool)
-    shared = m.sizes - m.own
-    for i in range(n):
-        found = [holder[first[c] : first[c + 1]] for c in spans[i]]
-        found = np.concatenate([x[np.searchsorted(x, i, "right") :] for x in found]) if found else holder[:0]
-        if not len(found):
-            continue
-        other = np.unique(found)
-        if side is not None:
-            other = other[side[other] != side[i]]
-        a, b = m.sizes[i], m.sizes[other]
-        need = least_overlap(a, b, percent)
-        other = other[(need <= np.minimum(min(a, shared[i]), shared[other])) & (percent * np.maximum(a, b) <= 100 * np.minimum(a, b))]
-        if not len(other):
-            continue
-        mark[m.row(i)] = True
-        whole = np.concatenate(([0], np.cumsum(m.sizes[other]) // STACKED))
-        for some in np.split(other, np.flatnonzero(whole[1:] > whole[:-1])):
-            if len(some):
-                lengths = m.sizes[some]
-                ends = np.cumsum(lengths)
-                stacked = m.columns[np.arange(ends[-1]) + np.repeat(m.starts[some] - ends + lengths, lengths)]
-                overlap = np.add.reduceat(mark[stacked].astype(np.int64), ends - lengths)
-                some = some[overlap >= least_overlap(a, lengths, percent)]
-                if len(some):
-                    yield i, some
-        mark[m.row(i)] = False
+    sizes = np.array([len(x) for x in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row, column = reachable_rows(np.repeat(np.arange(len(sets)), sizes), column, sizes, side, percent)
+    if not len(row):
+        return row, row
+    there, row = np.unique(row, return_inverse=True)
+    sizes, side = sizes[there], side[there]
+    first = np.full(int(column.max()) + 1, len(there))
+    np.minimum.at(first, column, row)
+    column = np.argsort(np.argsort(first, kind="stable"), kind="stable")[column]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    exact = np.float32 if sizes.max() < 1 << 24 else np.float64
+    overlap = np.zeros((len(there), len(there)), exact)
+    for block in np.split(np.arange(len(row)), np.flatnonzero(np.diff(column // COLUMNS)) + 1):
+        r, c = row[block], column[block]
+        _, c = np.unique(c, return_inverse=True)
+        active, at = np.unique(r, return_inverse=True)
+        tile = np.zeros((len(active), int(c.max()) + 1), exact)
+        tile[at, c] = 1
+        if side.any():
+            one, two = side[active] == 1, side[active] == 2
+            overlap[np.ix_(active[one], active[two])] += tile[one] @ tile[two].T
+        else:
+            overlap[np.ix_(active, active)] += tile @ tile.T
+    linked = overlap >= least_overlap(sizes[:, None], sizes[None, :], percent)
+    i, j = np.nonzero(linked & (overlap > 0))
+    keep = i != j if side.any() else i < j
+    i, j = there[i[keep]], there[j[keep]]
+    return np.minimum(i, j), np.maximum(i, j)
+
+
+def met_before(i: np.ndarray, j: np.ndarray, blocks: list[np.ndarray], this: int) -> np.ndarray:
+    """Whether rows i and j of `this` row block are in a smaller one together too."""
+    flat = np.concatenate(blocks)
+    row = np.repeat(np.arange(len(blocks)), [len(x) for x in blocks])
+    names, number, times = np.unique(flat, return_inverse=True, return_counts=True)
+    use = (names < this) & (times > 1)
+    width = int(use.sum())
+    if not width:
+        return np.zeros(len(i), bool)
+    held = use[number]
+    number, row = (np.cumsum(use) - 1)[number[held]], row[held]
+    bits = np.zeros((len(blocks), -(-width // 64)), np.uint64)
+    np.bitwise_or.at(bits, (row, number // 64), np.uint64(1) << (number % 64).astype(np.uint64))
+    out = np.zeros(len(i), bool)
+    for word in range(bits.shape[1]):
+        out |= (bits[i, word] & bits[j, word]) != 0
+    return out
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest number that each of n rows is connected with."""
+    root, before = np.arange(n), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+        root = root[root]
+    return root
 
 
 def marked(docs: DataFrame, key: str, text: str, rule: Rule = RULE) -> DataFrame:
-    """(key, n, node, marks) of each row: set size, number of the set (null: no shingle), marks of its column blocks.
+    """(id, n, node, marks) of each row: its key, set size, number of the set (null: no shingle), marks of its column blocks.
 
     A task leaves out the marks of sets it has had before, so copies don't multiply.
     """
@@ -256,31 +296,36 @@ def marked(docs: DataFrame, key: str, text: str, rule: Rule = RULE) -> DataFrame
                     nodes.append(node)
                     marks.append(block_marks(sets, rule).view(np.int64) if new else [])
                 arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, [key, "n", "node", "marks"])
-
-    return docs.select(key, text).mapInArrow(rows, f"`{key}` {docs.schema[key].dataType.simpleString()}, n bigint, node bigint, marks array<bigint>")
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "node", "marks"])
 
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(rows, f"id {kind}, n bigint, node bigint, marks array<bigint>")
 
-def agreeing(rows: DataFrame, agree: int = 1) -> DataFrame:
-    """Edges (a, b) that connect all nodes with a common mark: each with the smallest of its mark.
 
-    Nodes that meet at odd marks of GROUP rows at most are connected when they have `agree` of these.
-    """
+def agreeing(rows: DataFrame) -> DataFrame:
+    """(a, b, kind, times): node a has so many marks of a kind in common with b < a, the smallest node of these marks."""
     marks = rows.where("node is not null").select("node", F.explode("marks").alias("mark"))
-    of = Window.partitionBy("mark")
-    least = F.min("node").over(of)
-    if agree == 1:
-        return marks.select(F.col("node").alias("a"), least.alias("b")).where("a > b").distinct()
-    before = F.collect_set("node").over(of.orderBy("node").rowsBetween(-GROUP, -1))
-    held = marks.select("node", "mark", least.alias("least"), F.count("*").over(of).alias("n"), before.alias("before")).where("n > 1")
-    counted = (F.col("n") <= GROUP) & (F.col("mark").bitwiseAND(F.lit(1)) == 1)
-
-    def edge(b: Column, times: int) -> Column:
-        return F.struct(b.alias("b"), F.lit(times).alias("times"))
-
-    edges = F.when(counted, F.transform("before", lambda x: edge(x, 1))).otherwise(F.array(edge(F.col("least"), agree)))
-    each = held.select(F.col("node").alias("a"), F.explode(edges).alias("e")).select("a", "e.b", "e.times").where("a > b")
-    return each.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= agree).select("a", "b")
+    sampled = rows.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SAMPLE)) == 0).select("node", F.explode("marks").alias("hot"))
+    hot = cut(sampled.groupBy("hot").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "hot").limit(MOST_HOT).select("hot"))
+    cold = marks.join(F.broadcast(hot), F.col("mark") == F.col("hot"), "left_anti")
+    least = F.min("node").over(Window.partitionBy("mark"))
+    edges = cold.select(F.col("node").alias("a"), least.alias("b"), "mark")
+    if hot.count():
+        known = marks.join(F.broadcast(hot), F.col("mark") == F.col("hot"))
+        first = known.groupBy("hot").agg(F.min("node").alias("b"))  # MOST_HOT rows at most
+        edges = edges.unionAll(marks.join(F.broadcast(first), F.col("mark") == F.col("hot")).select(F.col("node").alias("a"), "b", "mark"))
+    kind = F.col("mark").bitwiseAND(F.lit(63)).cast("int").alias("kind")
+    return edges.where("a > b").groupBy("a", "b", kind).agg(F.count("*").alias("times"))
+
+
+def row_blocks(edges: DataFrame, rule: Rule = RULE) -> DataFrame:
+    """(node, block): the row blocks of each node, less those that up to `left_out` marks of a large set's class lead to."""
+    if rule.left_out:
+        # as many rows as a node has marks of one class, MARKS at most
+        fewest = Window.partitionBy("a", "kind").orderBy("times", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        edges = edges.withColumn("upto", F.sum("times").over(fewest)).where((F.col("kind") % 2 == 0) | (F.col("upto") > rule.left_out))
+    held = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("block")), F.struct(F.col("b").alias("node"), F.col("b").alias("block"))))
+    return edges.select(held.alias("x")).select("x.*").distinct()
 
 
 def tiled(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -295,8 +340,8 @@ def tiled(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     counts = banded.groupBy("block", "band").agg(load.alias("load"))
     # one entry for each band: a few hundred for any sizes
     tiles = F.map_from_entries(F.collect_list(F.struct("band", F.ceil("load").cast("int").alias("k"))))
-    whole = counts.groupBy(F.col("block").alias("of")).agg(F.sum("load").alias("all"), tiles.alias("tiles"))
-    held = banded.join(whole, F.col("block") == F.col("of"))
+    large = counts.groupBy(F.col("block").alias("of")).agg(F.sum("load").alias("all"), tiles.alias("tiles")).where("all > 1")
+    held = banded.join(large, F.col("block") == F.col("of"), "left")
     b = F.col("band")
 
     def many(band: Column) -> Column:
@@ -307,7 +352,7 @@ def tiled(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         return F.transform(F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>")), unit)
 
     def unit(b1: Column, t1: Column, b2: Column, t2: Column, side: Column) -> Column:
-        return F.struct(b1.alias("b1"), t1.alias("t1"), b2.alias("b2"), t2.alias("t2"), side.alias("side"))
+        return F.struct("block", b1.alias("b1"), t1.alias("t1"), b2.alias("b2"), t2.alias("t2"), side.alias("side"))
 
     t = F.pmod(F.xxhash64("node"), F.greatest(many(b), F.lit(1)).cast("long")).cast("int")
     one, two = F.lit(1), F.lit(2)
@@ -315,7 +360,7 @@ def tiled(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     above = each(b + 1, lambda o: unit(b, t, b + 1, o, one))
     below = each(b - 1, lambda o: unit(b - 1, o, b, t, two))
     alone = F.array(unit(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0), F.lit(0)))
-    return held.withColumn("units", F.when(F.col("all") <= 1, alone).otherwise(F.concat(same, above, below))).drop("band", "of", "all", "tiles")
+    return held.withColumn("units", F.when(F.col("of").isNull(), alone).otherwise(F.concat(same, above, below))).drop("band", "of", "all", "tiles")
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
@@ -325,14 +370,16 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     """
     rows = stored(marked(docs, key, text, rule))
     kind = docs.schema[key].dataType.simpleString()
-    alike = components(agreeing(rows, rule.agree)).select(F.col("node").alias("of"), F.col("root").alias("block"))
-    copies = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    wanted = tiled(copies.join(alike, F.col("node") == F.col("of")).select("node", "first", "n", "copies", "block"), rule.percent)
-    wanted = stored(wanted.select("first", "node", "copies", "block", "units"))
+    blocks = row_blocks(agreeing(rows), rule).select(F.col("node").alias("of"), "block")
+    copies = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    in_blocks = tiled(copies.join(blocks, F.col("node") == F.col("of")).select("node", "first", "n", "copies", "block"), rule.percent)
+    # as many blocks as a node has marks, 160 at most
+    wanted = in_blocks.groupBy("node", "first", "copies").agg(F.sort_array(F.collect_list("block")).alias("blocks"), F.flatten(F.collect_list("units")).alias("units"))
+    wanted = stored(wanted)
     texts = docs.select(F.col(key).alias("k2"), F.col(text).alias("t2"))
     if wanted.count() <= LISTED:  # else the join below shuffles all texts
         texts = texts.join(F.broadcast(wanted.select(F.col("first").alias("k3"))), F.col("k2").eqNullSafe(F.col("k3")), "left_semi")
-    texts = texts.join(wanted, F.col("k2").eqNullSafe(F.col("first"))).select("t2", "node", "copies", "block", "units")
+    texts = texts.join(wanted, F.col("k2").eqNullSafe(F.col("first"))).select("t2", "node", "copies", "blocks", "units")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -348,33 +395,27 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     schema = StructType([*texts.schema.fields[1:], StructField("set", ArrayType(LongType()))])
     sets = texts.mapInArrow(sets_of, schema)
 
+    def lists(column: pa.ChunkedArray, at: np.ndarray) -> list[np.ndarray]:
+        flat = column.combine_chunks()
+        offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+        return [values[offsets[i] : offsets[i + 1]] for i in at]
+
     def product(tables: pa.Table) -> pa.Table:
         """Of one tile pair: each row's root among the rows it is connected with here, and its links here."""
         nodes = tables.column("node").to_numpy()
         _, at = np.unique(nodes, return_index=True)  # repeated rows of a key bring a set twice
         nodes, copies = nodes[at], tables.column("copies").to_numpy()[at]
-        sides = tables.column("side").to_numpy()[at]
-        flat = tables.column("set").combine_chunks()
-        offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
-        held = [values[offsets[i] : offsets[i + 1]] for i in at]
-        root, links = np.arange(len(at)), np.zeros(len(at), np.int64)
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, others in linked_pairs(held, None if (sides == 0).all() else sides, rule.percent):
-            links[i] += copies[others].sum()
-            links[others] += copies[i]
-            for j in others:
-                a, b = top(i), top(j)
-                root[max(a, b)] = min(a, b)
+        held = [x.view(np.uint64) for x in lists(tables.column("set"), at)]
+        i, j = linked_pairs(held, tables.column("side").to_numpy()[at], rule.percent)
+        new = ~met_before(i, j, lists(tables.column("blocks"), at), tables.column("block")[0].as_py())
+        i, j = i[new], j[new]
+        links = np.zeros(len(at), np.int64)
+        np.add.at(links, i, copies[j])
+        np.add.at(links, j, copies[i])
         linked = np.flatnonzero(links)
-        return pa.table({"a": nodes[linked], "b": nodes[[top(i) for i in linked]] if len(linked) else nodes[:0], "links": links[linked]})
+        return pa.table({"a": nodes[linked], "b": nodes[roots(len(at), i, j)[linked]], "links": links[linked]})
 
-    units = sets.withColumn("u", F.explode("units")).select("block", "u.b1", "u.t1", "u.b2", "u.t2", "u.side", "node", "copies", "set")
+    units = sets.withColumn("u", F.explode("units")).select("u.block", "u.b1", "u.t1", "u.b2", "u.t2", "u.side", "node", "copies", "blocks", "set")
     found = cut(units.groupBy("block", "b1", "t1", "b2", "t2").applyInArrow(product, "a bigint, b bigint, links bigint"))
     linked = components(found.select("a", "b")).select(F.col("node").alias("of"), "root")
     counts = found.groupBy(F.col("a").alias("with")).agg(F.sum("links").alias("links"))
@@ -383,6 +424,6 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     least = each.groupBy(F.col("root").alias("r2")).agg(F.min("first").alias("component_id"))
     # dealt anew, so that the join can split the rows of a large component
     classes = each.join(least.repartition(F.xxhash64("r2")), F.col("root") == F.col("r2")).select(F.col("node").alias("of"), "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    full = rows.where("node is not null").join(classes, F.col("node") == F.col("of")).select(key, F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = rows.where("node is null").select(key, F.lit(0).cast("long").alias("n_shingles"), F.col(key).cast(kind).alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.unionAll(alone)
+    full = rows.where("node is not null").join(classes, F.col("node") == F.col("of")).select("id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    alone = rows.where("node is null").select("id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").cast(kind).alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return full.unionAll(alone).select(F.col("id").alias(key), "n_shingles", "component_id", "n_links")

@@ -262,9 +262,10 @@ def brute_links(texts, size, percent):
     return {i: (len(s), root[i], links[i]) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("group", [100, 5])
-def test_pipeline_joins_five_words_from_eight_tenths(spark, monkeypatch, group):
-    monkeypatch.setattr(ngram_join, "GROUP", group)
+@pytest.mark.parametrize("hot", [16, 1])
+def test_pipeline_joins_five_words_from_eight_tenths(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "SAMPLE", 64 if hot > 1 else 2)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     texts = near_texts(13, (8, 9, 12, 20, 28, 33, 60, 130, 190, 300, 700))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_classes(df, rule=corpus_pipeline.NEAR).collect()}
