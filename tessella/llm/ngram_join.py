@@ -3,7 +3,7 @@
 Rows of the matrix are distinct sets of word shingles, columns are shingles. The columns are parted
 into blocks by hash, more blocks than a linked pair of a size class can differ in; so the rows of a
 linked pair agree in some blocks, and each block a row has anything in gives it a mark. Of the rows
-that have a mark in common the one with the smallest number stands for the mark, and all rows that
+that have a mark in common one stands for the mark, the one with the smallest number, and all rows that
 share marks with it make a row block: rows that agree in a mark meet in the block of its
 representative, and nothing is closed transitively. Large row blocks are tiled by size and hash. The
 incidence matrices of two tiles are multiplied block of columns by block of columns, overlap counts
@@ -27,7 +27,8 @@ pair always has in common.
 
 Scale. Only marks are shuffled, 160 for a text at most, never shingles; texts that no row block
 wants stay where they are. Marks that many rows have are found in a sample of the rows, MOST_HOT at
-most; their representatives are broadcast, so that no task gets all rows of a mark.
+most, and represented by the smallest sampled row; this is broadcast, so that no task gets all rows
+of a mark.
 
 Null and empty texts: 0 shingles, a component of their own, no links. Texts with fewer words than a
 shingle are one shingle. Repeated rows and equal sets are links of each other. Rows with a null key
@@ -62,6 +63,8 @@ MARKS = 80
 TILE, THOUSAND = 1024, 1000
 #: Up to so many keys (8 bytes each) are broadcast to leave out texts that nothing is to be compared with.
 LISTED = 1_000_000
+#: Up to so many row blocks of several tiles are broadcast, a few hundred bytes each.
+LARGE = 50_000
 #: Words whose hashes a task keeps.
 WORDS = 200_000
 #: Columns of one block of the product.
@@ -303,19 +306,17 @@ def marked(docs: DataFrame, key: str, text: str, rule: Rule = RULE) -> DataFrame
 
 
 def agreeing(rows: DataFrame) -> DataFrame:
-    """(a, b, kind, times): node a has so many marks of a kind in common with b < a, the smallest node of these marks."""
-    marks = rows.where("node is not null").select("node", F.explode("marks").alias("mark"))
+    """(a, b, kind, times): node a has so many marks of a kind in common with b, the node that stands for these marks."""
     sampled = rows.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SAMPLE)) == 0).select("node", F.explode("marks").alias("hot"))
-    hot = cut(sampled.groupBy("hot").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "hot").limit(MOST_HOT).select("hot"))
-    cold = marks.join(F.broadcast(hot), F.col("mark") == F.col("hot"), "left_anti")
-    least = F.min("node").over(Window.partitionBy("mark"))
-    edges = cold.select(F.col("node").alias("a"), least.alias("b"), "mark")
-    if hot.count():
-        known = marks.join(F.broadcast(hot), F.col("mark") == F.col("hot"))
-        first = known.groupBy("hot").agg(F.min("node").alias("b"))  # MOST_HOT rows at most
-        edges = edges.unionAll(marks.join(F.broadcast(first), F.col("mark") == F.col("hot")).select(F.col("node").alias("a"), "b", "mark"))
+    hot = sampled.groupBy("hot").agg(F.count("*").alias("n"), F.min("node").alias("of")).where(F.col("n") >= HOT)
+    hot = cut(hot.orderBy(F.desc("n"), "hot").limit(MOST_HOT).select("hot", "of"))
+    marks = rows.where("node is not null").select("node", F.explode("marks").alias("mark")).join(F.broadcast(hot), F.col("mark") == F.col("hot"), "left")
+    # rows of a hot mark know its representative and needn't meet
+    salt = F.when(F.col("of").isNotNull(), F.col("node")).otherwise(F.lit(0).cast("long"))
+    least = F.min("node").over(Window.partitionBy("mark", "salt"))
+    edges = marks.withColumn("salt", salt).select(F.col("node").alias("a"), F.coalesce("of", least).alias("b"), "mark")
     kind = F.col("mark").bitwiseAND(F.lit(63)).cast("int").alias("kind")
-    return edges.where("a > b").groupBy("a", "b", kind).agg(F.count("*").alias("times"))
+    return edges.where("a <> b").groupBy("a", "b", kind).agg(F.count("*").alias("times"))
 
 
 def row_blocks(edges: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -341,7 +342,8 @@ def tiled(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     # one entry for each band: a few hundred for any sizes
     tiles = F.map_from_entries(F.collect_list(F.struct("band", F.ceil("load").cast("int").alias("k"))))
     large = counts.groupBy(F.col("block").alias("of")).agg(F.sum("load").alias("all"), tiles.alias("tiles")).where("all > 1")
-    held = banded.join(large, F.col("block") == F.col("of"), "left")
+    large = cut(large)
+    held = banded.join(F.broadcast(large) if large.count() <= LARGE else large, F.col("block") == F.col("of"), "left")
     b = F.col("band")
 
     def many(band: Column) -> Column:
