@@ -1,20 +1,24 @@
 """Language ID by error-correcting output codes.
 
-Each language has a codeword, a row of a Hadamard matrix; for each bit a binary classifier weighs
-hashed byte trigrams by their log-odds between languages with that bit and without. A text's
-margins are compared with every codeword: the loss of a bit weighs more the better its classifier
-did in training, the codeword with the least loss wins, and a small lead over the next flags the
-text as ambiguous.
+Each language has a codeword; for each bit a binary classifier weighs hashed byte trigrams by their
+log-odds between languages with that bit and without. Up to EXHAUSTIVE languages get the exhaustive
+code: every way to part them in two is one bit, 7 for four languages, any two of which then differ
+in 4, so that one wrong classifier is put right. More languages get as many random splits as keep
+any two far apart. A text's margins are compared with every codeword: the loss of a bit weighs more
+the better its classifier did in training, the codeword with the least loss wins, and a small lead
+over the next flags the text as ambiguous.
 
 Training takes at most about `bound` texts of each language (default 2000), drawn by a hash of
-their key; prediction reads whole texts. A null text or one without a letter is `und` with score 0,
-as is every text when nothing can be learned from. Repeated rows get equal values.
+their key, and the `most` most frequent languages (default 256); prediction reads whole texts. A null
+text or one without a letter is `und` with score 0, as is every text when nothing can be learned
+from. With one language every text with a letter is of it. Repeated rows get equal values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +33,42 @@ UNKNOWN = "und"
 BITS = 13
 #: Below this lead of the best codeword over the next, as a share of the loss of both, a text is ambiguous.
 LEAD = 0.2
+#: No margin counts for more than this, so that one classifier can't outvote the others.
+SUREST = 8.0
 #: ASCII letters stay, other ASCII bytes become spaces.
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+#: Up to so many languages have a bit for every way to part them.
+EXHAUSTIVE = 6
+#: Random codes that are drawn for more languages; the one whose codewords are farthest apart is taken.
+DRAWN = 50
+
+
+@cache
 def codewords(languages: int) -> np.ndarray:
-    """A row of +1 and -1 for each language; any two differ in more than half of the bits."""
-    size = 2
-    while size < max(4, languages + 1):
-        size *= 2
-    return np.array([[1 - 2 * (bin(r & c).count("1") & 1) for c in range(1, size)] for r in range(languages)])
+    """A row of +1 and -1 for each language. No two bits part the languages in the same way, and none leaves them together.
+
+    With n languages up to EXHAUSTIVE any two rows differ in 2 ** (n - 2) of 2 ** (n - 1) - 1 bits.
+    """
+    if languages < 2:
+        return np.ones((languages, 1), int)
+    if languages <= EXHAUSTIVE:
+        # the first language is always on the one side; the others' side is a number's bits, not all 1
+        return np.array([[1 if r == 0 or split >> (r - 1) & 1 else -1 for split in range(2 ** (languages - 1) - 1)] for r in range(languages)])
+    rng = np.random.default_rng(languages)
+    bits = 10 * (languages - 1).bit_length()
+    best, apart = None, -1
+    for _ in range(DRAWN):
+        splits: set[bytes] = set()
+        while len(splits) < bits:
+            side = rng.permutation(languages) < languages // 2
+            splits.add((side ^ side[0]).tobytes())  # one of a split and its mirror image
+        code = np.array([np.frombuffer(x, bool) for x in sorted(splits)]).T
+        least = (code[:, None] != code[None]).sum(2)[~np.eye(languages, dtype=bool)].min()
+        if least > apart:
+            best, apart = np.where(code, -1, 1), least
+    return best
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -59,8 +89,9 @@ class Model:
         return counts @ self.weights / max(1, counts.sum())
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
-        """The weighted loss of each language's codeword."""
-        return np.logaddexp(0, -codewords(len(self.languages)) * margins / self.scale) @ self.trust
+        """The weighted loss of each language's codeword: a bit on the wrong side costs more the surer its margin, up to a bound."""
+        sure = np.clip(margins / self.scale, -SUREST, SUREST)
+        return np.logaddexp(0, -codewords(len(self.languages)) * sure) @ self.trust
 
 
 def readable(text: str | None) -> bool:
@@ -69,12 +100,11 @@ def readable(text: str | None) -> bool:
 
 def predict(texts: list[str | None], model: Model) -> list[dict]:
     out = []
-    codes = codewords(len(model.languages))
     for text in texts:
         if not model.languages or not readable(text):
             out.append({"lang_pred": UNKNOWN, "score": 0.0, "ambiguous": True})
             continue
-        loss = np.logaddexp(0, -codes * (model.margins(trigrams(text)) / model.scale)) @ model.trust
+        loss = model.losses(model.margins(trigrams(text)))
         best = int(loss.argmin())
         share = np.exp(loss[best] - loss)
         rest = np.delete(loss, best)
@@ -89,16 +119,17 @@ def held_out(key: str | Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = 2000) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = 2000, most: int = 256) -> Model:
     """A model from the rows of `docs`, which are all that it may learn from. Null languages are left out."""
     told = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = {r.l: r.n for r in told.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    counts = {r.l: r.n for r in told.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((1 << BITS, 1)), np.ones(1), np.ones(1))
-    luck = F.shiftrightunsigned(F.xxhash64("k", F.lit(7)), 11) / F.lit(float(2**53))
+    luck = F.shiftrightunsigned(F.xxhash64("k", "t", F.lit(7)), 11) / F.lit(float(2**53))
     share = F.try_element_at(F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, bound / counts[name]))]), F.col("l"))
-    sample = cut(told.where(luck < share).repartition(8, F.xxhash64("k")))
+    drawn = sum(min(bound, n) for n in counts.values())
+    sample = cut(told.where(luck < share).repartition(1 + drawn // 1000, F.xxhash64("k", "t")))
     codes = codewords(len(languages))
     place = {name: i for i, name in enumerate(languages)}
 
