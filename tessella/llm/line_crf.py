@@ -4,11 +4,19 @@ Each line that has a word gets a set of binary features; the field scores label
 weights of features and of neighbouring labels; the best sequence marks every line as content or
 boilerplate. A text stays if the content lines hold at least `least_share` of its word characters.
 
-`fit` learns the weights by stochastic gradient ascent on the penalised likelihood of labelled
-line sequences, starting from PRIOR. `training_lines` takes these from a table of rated texts:
-lines of a text with a good rating count as content, of a bad one as boilerplate. It takes at most
-`bound` texts (default 3000, those with the lowest hash of their id), and of each its first 200
-lines, to fit; decoding reads whole texts. With no rated text the weights are PRIOR.
+`fit` learns the weights by stochastic gradient ascent on the penalised likelihood of partly labelled
+line sequences, starting from PRIOR: what the field expects with the known labels held fixed, less
+what it expects freely, for the features and for the change of label between neighbours. Labels are
+weak and belong to lines, not to texts (`labelled`): a line that stands between different
+neighbours in SHARED training texts or more is boilerplate, as is one that equals an earlier line of its
+text; a line of a text rated good is content otherwise, and a line of a text rated bad is
+boilerplate if it looks like junk and unknown if not. The field itself only sees the line's own
+features, its neighbours and whether it repeats an earlier line, so decoding needs no other text.
+
+`training_lines` takes at most `bound` rated texts (default 3000, those with the lowest hash of
+their id), and of a text of more than `window` lines with words (default 200) a run of that many,
+whose start a hash of the text draws; both are parameters. Decoding reads whole texts. With no rated
+text the weights are PRIOR.
 
 Null and empty texts have no words: base_failed, share 0, not kept. Repeated rows get equal values.
 """
@@ -20,18 +28,24 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
-from pyspark.sql.types import ArrayType, IntegerType
 
 from tessella.llm.common import text_bytes
 
-CONTENT, BOILERPLATE = 0, 1
+CONTENT, BOILERPLATE, UNKNOWN = 0, 1, -1
 #: Names of the binary features of a line, by bit.
-FEATURES = ("any", "ends_sentence", "shouts", "symbols", "bars", "capitals", "stutters", "few_distinct", "short", "long", "repeated", "digits", "long_words", "bullet")
+FEATURES = ("any", "ends_sentence", "shouts", "symbols", "bars", "capitals", "stutters", "few_distinct", "short", "long", "repeated", "digits", "long_words", "bullet", "notice", "first", "last")
 #: Weights that hold before any training: of boilerplate against content, then what it costs when neighbours differ.
-PRIOR = np.array([-0.5, -1.0, 1.5, 2.0, 1.5, 1.0, 1.5, 1.0, 0.3, -0.3, 1.0, 0.5, 0.3, 0.5, 1.0])
+PRIOR = np.array([-0.5, -1.0, 1.5, 2.0, 1.5, 1.0, 1.5, 1.0, 0.3, -0.3, 1.0, 0.5, 0.3, 0.5, 1.0, 0.0, 0.0, 1.0])
+#: Features that make a line look like junk.
+JUNK = sum(1 << FEATURES.index(k) for k in ("shouts", "symbols", "bars", "capitals", "stutters", "few_distinct", "bullet"))
+#: A line between different neighbours in so many training texts is boilerplate.
+SHARED = 3
+#: Words of legal notices and navigation, in lower case.
+NOTICE = frozenset({b"license", b"licensed", b"license.", b"license,", b"copyright", b"rights", b"reserved.", b"reserved", b"cookies", b"subscribe", b"login", b"privacy"})
 LEAST_SHARE = 0.3
 SYMBOLS = bytes(b"#*$%&|<>")
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
@@ -41,12 +55,16 @@ _NOT_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
 _TRAILING = bytes(range(0x80, 0xC0))
 
 
+#: The bit of the last line of several.
+LAST = 1 << FEATURES.index("last")
+
+
 def code_points(raw: bytes) -> int:
     return len(raw) if raw.isascii() else len(raw.translate(None, _TRAILING))
 
 
-def line_features(line: bytes, words: list[bytes], repeated: bool) -> int:
-    """The features of one line that has words, as bits in the order of FEATURES."""
+def line_features(line: bytes, words: list[bytes], repeated: bool, first: bool = False) -> int:
+    """The features of one line that has words, as bits in the order of FEATURES; `last` is for the caller to set."""
     n, size = len(words), len(line)
     distinct = len(set(words))
     upper, lower = len(line.translate(None, _NOT_UPPER)), len(line.translate(None, _NOT_LOWER))
@@ -67,6 +85,8 @@ def line_features(line: bytes, words: list[bytes], repeated: bool) -> int:
         len(line.translate(None, _NOT_DIGIT)) * 4 > size,
         size > 14 * n,
         words[0] in (b"-", b"*", b"|", b"\xe2\x80\xa2"),
+        n < 30 and not NOTICE.isdisjoint(line.lower().split()),
+        first,
     )
     return sum(1 << k for k, x in enumerate(flags) if x)
 
@@ -79,9 +99,11 @@ def sequence_of(raw: bytes) -> tuple[list[int], list[int], int]:
             again = line in seen
             seen.add(line)
             twice += again
-            bits.append(line_features(line, words, again))
+            bits.append(line_features(line, words, again, not bits))
             joined = b"".join(words)
             chars.append(code_points(joined))
+    if len(bits) > 1:
+        bits[-1] |= LAST
     return bits, chars, twice
 
 
@@ -115,67 +137,115 @@ def viterbi(bits: Sequence[int], weights: np.ndarray, known: dict[int, float] |
     return labels[::-1]
 
 
-def fit(sequences: list[tuple[list[int], int]], rounds: int = 6, rate: float = 0.5, penalty: float = 1e-3) -> np.ndarray:
-    """Weights from (features of lines, label of all of them) pairs.
+def forward_backward(weights: list[tuple[float, float]], same: float) -> tuple[np.ndarray, float]:
+    """Probability of boilerplate at each line, and the expected number of changes between neighbours.
 
-    Each pair's gradient is what the field's forward-backward pass expects against what is labelled.
-    Both labels weigh alike in all, however many texts have them. No pairs, or one label only: PRIOR.
+    weights: of each line, what its two labels are worth; `same` is what equal neighbours are worth
+    against different ones.
+    """
+    forward = [weights[0]]
+    for x, y in weights[1:]:
+        a, b = forward[-1]
+        a, b = (a * same + b) * x, (a + b * same) * y
+        z = a + b
+        forward.append((a / z, b / z))
+    backward = [(1.0, 1.0)]
+    for x, y in reversed(weights[1:]):
+        p, q = backward[-1]
+        p, q = p * x * same + q * y, p * x + q * y * same
+        z = p + q
+        backward.append((p / z, q / z))
+    backward.reverse()
+    second, changes = np.empty(len(weights)), 0.0
+    for k, ((a, b), (p, q)) in enumerate(zip(forward, backward, strict=True)):
+        second[k] = b * q / (a * p + b * q)
+        if k:
+            (c, d), (x, y) = forward[k - 1], weights[k]
+            stay, go = (c * x * p + d * y * q) * same, c * y * q + d * x * p
+            changes += go / (stay + go)
+    return second, changes
+
+
+def gradient(bits: Sequence[int], labels: Sequence[int], w: np.ndarray, masks: dict[int, np.ndarray]) -> np.ndarray:
+    """Of the log likelihood of what is known of the labels of one sequence."""
+    e = [math.exp(min(30.0, max(-30.0, float(masks[x] @ w[:-1])))) for x in bits]
+    same = math.exp(min(30.0, max(-30.0, float(w[-1]))))
+    free, changes = forward_backward([(1.0, x) for x in e], same)
+    known, told = forward_backward([(float(y != BOILERPLATE), x * (y != CONTENT)) for x, y in zip(e, labels, strict=True)], same)
+    grad = np.empty(len(w))
+    grad[:-1] = (known - free) @ np.array([masks[x] for x in bits])
+    grad[-1] = changes - told
+    return grad
+
+
+def fit(sequences: list[tuple[list[int], list[int]]], rounds: int = 6, rate: float = 0.5, penalty: float = 1e-3) -> np.ndarray:
+    """Weights from (features of lines, labels of lines) pairs; a label may be UNKNOWN.
+
+    No known label of one of the two kinds: PRIOR. The cost of a change is learned like any weight.
     """
     w = PRIOR.copy()
-    counts = [sum(y == k for _, y in sequences) for k in (0, 1)]
-    if not all(counts):
+    held = [(b, y) for b, y in sequences if b]
+    if not all(any(k in y for _, y in held) for k in (CONTENT, BOILERPLATE)):
         return w
-    n = len(sequences)
-    masks = {x: np.array([x >> k & 1 for k in range(len(FEATURES))], float) for bits, _ in sequences for x in bits}
+    masks = {x: np.array([x >> k & 1 for k in range(len(FEATURES))], float) for bits, _ in held for x in bits}
     order = np.random.default_rng(0)
+    mean, steps = np.zeros_like(w), 0
     for r in range(rounds):
         step = rate / (1 + r)
-        for i in order.permutation(n):
-            bits, y = sequences[i]
-            if not bits:
-                continue
-            share, same = n / (2 * counts[y]), math.exp(w[-1])
-            e = [math.exp(min(30.0, max(-30.0, float(masks[x] @ w[:-1])))) for x in bits]
-            forward = [(1.0, e[0])]
-            for x in e[1:]:
-                a, b = forward[-1]
-                a, b = a * same + b, (a + b * same) * x
-                z = a + b
-                forward.append((a / z, b / z))
-            backward = [(1.0, 1.0)]
-            for x in reversed(e[1:]):
-                p, q = backward[-1]
-                p, q = p * same + q * x, p + q * x * same
-                z = p + q
-                backward.append((p / z, q / z))
-            backward.reverse()
-            grad = np.zeros_like(w)
-            for k, x in enumerate(bits):
-                a, b = forward[k][0] * backward[k][0], forward[k][1] * backward[k][1]
-                grad[:-1] += (y - b / (a + b)) * masks[x]
-                if k:
-                    (a, b), (p, q) = forward[k - 1], backward[k]
-                    stay, go = (a * p + b * q * e[k]) * same, b * p + a * q * e[k]
-                    grad[-1] += go / (stay + go)
-            w += step * share * (grad / len(bits) - penalty * (w - PRIOR))
-            w[-1] = min(3.0, max(0.0, w[-1]))
-    return w
-
-
-@F.arrow_udf(ArrayType(IntegerType()))
-def line_bits(texts: pa.Array) -> pa.Array:
-    """Features of the first 200 lines with words of each text, for training."""
-    return pa.array([sequence_of(raw)[0][:200] for raw in text_bytes(texts)], pa.list_(pa.int32()))
-
-
-def training_lines(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", rating: str = "quality", bound: int = 3000) -> list[tuple[list[int], int]]:
-    """At most `bound` rated texts as (features, label) pairs; rating 0 is boilerplate, others content, null is left out."""
-    rated = ratings.where(F.col(rating).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(rating).alias("y"))
+        for i in order.permutation(len(held)):
+            bits, labels = held[i]
+            w += step * (gradient(bits, labels, w, masks) / len(bits) - penalty * (w - PRIOR))
+            if r:  # the mean of all weights but those of the first round
+                mean, steps = mean + w, steps + 1
+    return mean / steps if steps else w
+
+
+_LINES = pa.struct([("bits", pa.list_(pa.int32())), ("names", pa.list_(pa.int64()))])
+
+
+def line_names(window: int):
+    """A column function: features and hashes of a text's lines with words, of a run of `window` of them if there are more."""
+
+    @F.arrow_udf(from_arrow_type(_LINES))
+    def lines(texts: pa.Array) -> pa.Array:
+        out = []
+        for raw in text_bytes(texts):
+            bits, _, _ = sequence_of(raw)
+            names = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in raw.split(b"\n") if x.split()]
+            at = xxhash.xxh3_64_intdigest(raw) % (len(bits) - window + 1) if len(bits) > window else 0
+            out.append({"bits": bits[at : at + window], "names": names[at : at + window]})
+        return pa.array(out, _LINES)
+
+    return lines
+
+
+def labelled(texts: list[tuple[list[int], list[int], bool]]) -> list[tuple[list[int], list[int]]]:
+    """(features, labels) of (features, hashes of lines, rated good) texts, by the rules that the module states."""
+    before: dict[int, set] = {}
+    after: dict[int, set] = {}
+    for _, names, _ in texts:
+        for k, x in enumerate(names):
+            before.setdefault(x, set()).add(names[k - 1] if k else None)
+            after.setdefault(x, set()).add(names[k + 1] if k + 1 < len(names) else None)
+    repeated = 1 << FEATURES.index("repeated")
+
+    def label(bits: int, name: int, good: bool) -> int:
+        if bits & repeated or max(len(before[name]), len(after[name])) >= SHARED:
+            return BOILERPLATE
+        return CONTENT if good else BOILERPLATE if bits & JUNK else UNKNOWN
+
+    return [(bits, [label(b, x, good) for b, x in zip(bits, names, strict=True)]) for bits, names, good in texts]
+
+
+def training_lines(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", rating: str = "quality", bound: int = 3000, window: int = 200) -> list[tuple[list[int], list[int]]]:
+    """At most `bound` rated texts as (features, labels) of lines; rating 0 is bad, others good, null is left out. Of texts with one key, the smallest counts."""
+    rated = ratings.select(F.col(key).alias("k"), F.col(rating).alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.min("y").alias("y"))
     # each rating takes half of the bound; the lowest hashes of ids are a sample that depends on no order of rows
-    chosen = [rated.where(c).orderBy(F.xxhash64(key), key).limit(bound // 2) for c in (F.col("y") == 0, F.col("y") != 0)]
+    chosen = [rated.where(c).orderBy(F.xxhash64("k"), "k").limit(bound // 2) for c in (F.col("y") == 0, F.col("y") != 0)]
     both = F.broadcast(chosen[0].unionAll(chosen[1]))  # bound rows at most
-    rows = docs.select(key, text).join(both, key).select(F.col(key).alias("k"), "y", line_bits(text).alias("bits")).collect()
-    return [(list(r.bits), int(r.y == 0)) for r in sorted(rows, key=lambda r: (r.k, r.bits))[: 2 * bound]]
+    found = docs.select(F.col(key).alias("k2"), F.col(text).alias("t")).join(both, F.col("k2") == F.col("k")).groupBy("k", "y").agg(F.min("t").alias("t"))
+    rows = found.select("k", "y", line_names(window)("t").alias("x")).collect()
+    return labelled([(list(r.x.bits), list(r.x.names), r.y != 0) for r in sorted(rows, key=lambda r: r.k)])
 
 
 def base_numbers(raw: bytes) -> tuple[int, int, int, int]:
