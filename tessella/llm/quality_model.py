@@ -2,11 +2,15 @@
 
 P(grade <= k) = logistic(threshold k - w . x) with one weight for each hashed word or trait of a
 text, shared by all grades, and ordered thresholds. The expected grade is the sum of the tail
-probabilities; a text is kept if the probability of the best grade is at least `least`.
+probabilities; a text is kept if the probability of the best grade is at least the model's `least`.
 
 A text's features are the words it has, each once, and bins of a few traits of the whole text.
 Training takes at most about `bound` texts of each grade (default 2500), drawn by a hash of their
-key; features that fewer than five of these have get no weight. Prediction reads whole texts.
+key; features that fewer than `times` of these have (default 5) get no weight. All three are
+parameters. One in HELD of the drawn texts, by another hash, is held out: a model of the others
+scores them, and `least` is the largest probability by which `keep` (default 0.97) of the held-out
+texts of the best grade stay; the weights are then fitted on all. With fewer than FEW of these
+held out, `least` is LEAST. Prediction reads whole texts.
 
 Grades from `labels`: toxic 0, of low quality 1, others 2; rows without a rating are left out, of
 several ratings of a text the lowest counts. Null and empty texts have no features and aren't kept.
@@ -31,8 +35,11 @@ from tessella.llm.common import text_bytes
 GRADES = 3
 #: Words are hashed to so many bits.
 BITS = 24
-#: Grades weigh alike in training though the best one is the most frequent, so a smaller probability will do.
+#: The least probability of the best grade where too few texts are held out to choose one. Grades weigh
+#: alike in training though the best one is the most frequent, so a small one will do.
 LEAST = 0.1
+#: One drawn text in so many is held out; so many of the best grade are needed to choose by.
+HELD, FEW = 4, 30
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _LOWER = bytes(b for b in range(256) if not 97 <= b <= 122)
@@ -79,6 +86,7 @@ class Model:
     weights: dict[int, float]
     thresholds: list[float]  # between grades, ascending
     only: int | None = None  # the one grade there is
+    least: float = LEAST  # probability of the best grade from which a text is kept
 
     def tails(self, found: list[int]) -> np.ndarray:
         """P(grade >= k) for k from 1 up."""
@@ -88,7 +96,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds) - z, -500, 500)))
 
 
-def fit(rows: list[list[int]], grades: list[int], rounds: int = 120, penalty: float = 2e-4) -> Model:
+def fit(rows: list[list[int]], grades: list[int], rounds: int = 120, penalty: float = 2e-4, least_times: int = 5) -> Model:
     """Weights and thresholds that maximise the penalised likelihood; grades weigh alike, however many rows have them."""
     y = np.array(grades, int)
     counts = np.bincount(y, minlength=GRADES)
@@ -97,7 +105,7 @@ def fit(rows: list[list[int]], grades: list[int], rounds: int = 120, penalty: fl
     flat = np.concatenate([np.array(r, np.int64) for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     names, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    use = times >= 5
+    use = times >= least_times
     number = np.cumsum(use) - 1
     held = use[column]
     column, row, names = number[column[held]], row[held], names[use]
@@ -139,22 +147,38 @@ def graded(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return labels.select(F.col(key).alias("k"), y.alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.min("y").alias("y"))
 
 
-def train(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "text", bound: int = 2500) -> Model:
-    """A model from the texts of `docs` that `grades` (k, y) has a grade of."""
+def chosen_least(model: Model, rows: list[list[int]], grades: list[int], keep: float) -> float:
+    """The largest probability of the best grade by which so many of its texts stay."""
+    best = np.sort([model.tails(x)[-1] for x, y in zip(rows, grades, strict=True) if y == GRADES - 1])
+    return float(best[int((1 - keep) * len(best) + 1e-9)]) if len(best) >= FEW else LEAST
+
+
+def train(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "text", bound: int = 2500, times: int = 5, keep: float = 0.97) -> Model:
+    """A model from the texts of `docs` that `grades` (k, y) has a grade of; of texts with one key, the smallest counts."""
     counts = {r.y: r.n for r in grades.groupBy("y").agg(F.count("*").alias("n")).collect()}
     luck = F.shiftrightunsigned(F.xxhash64("k", F.lit(11)), 11) / F.lit(float(2**53))
     share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, bound / n))]) if counts else None
     drawn = grades.where(luck < F.try_element_at(share, F.col("y"))) if counts else grades
-    found = docs.select(key, text).join(F.broadcast(drawn), F.col(key) == F.col("k")).select("y", hashed_features(text).alias("x")).toPandas()  # bound rows of each grade
-    rows = [(list(x), int(y)) for x, y in zip(found.x, found.y, strict=True) if len(x)]
-    return fit([x for x, _ in rows], [y for _, y in rows])
+    held = F.pmod(F.xxhash64("k", F.lit(12)), F.lit(HELD)) == 0
+    texts = docs.select(F.col(key).alias("k2"), F.col(text).alias("t")).join(F.broadcast(drawn), F.col("k2") == F.col("k"))  # bound rows of each grade
+    one = texts.groupBy("k", "y").agg(F.min("t").alias("t"))
+    found = one.select("k", "y", held.alias("held"), hashed_features("t").alias("x")).toPandas().sort_values("k")
+    rows = [(list(x), int(y), bool(h)) for x, y, h in zip(found.x, found.y, found.held, strict=True) if len(x)]
+    least = LEAST
+    if sum(h and y == GRADES - 1 for _, y, h in rows) >= FEW:
+        first = fit([x for x, _, h in rows if not h], [y for _, y, h in rows if not h], least_times=times)
+        least = chosen_least(first, [x for x, _, h in rows if h], [y for _, y, h in rows if h], keep)
+    model = fit([x for x, _, _ in rows], [y for _, y, _ in rows], least_times=times)
+    model.least = least
+    return model
 
 
 _GRADE = pa.struct([("expected_grade", pa.float64()), ("tail_probability", pa.float64()), ("kept", pa.bool_())])
 
 
-def grade(model: Model, least: float = LEAST):
-    """A column function: text to struct of expected grade, probability of the best grade, and the decision."""
+def grade(model: Model, least: float | None = None):
+    """A column function: text to struct of expected grade, probability of the best grade, and the decision, by the model's `least` or another."""
+    bound = model.least if least is None else least
 
     @F.arrow_udf(from_arrow_type(_GRADE))
     def said(texts: pa.Array) -> pa.Array:
@@ -162,7 +186,7 @@ def grade(model: Model, least: float = LEAST):
         for raw in text_bytes(texts):
             found = features(raw, hashed)
             tails = model.tails(found)
-            out.append({"expected_grade": float(tails.sum()), "tail_probability": float(tails[-1]), "kept": bool(found) and bool(tails[-1] >= least)})
+            out.append({"expected_grade": float(tails.sum()), "tail_probability": float(tails[-1]), "kept": bool(found) and bool(tails[-1] >= bound)})
         return pa.array(out, _GRADE)
 
     return said
