@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.plans.lineage import cut, reachable, shared_dir, stored
 
-__all__ = ["NO_ID", "WORD", "cut", "filled", "reachable", "shared_dir", "stored", "table", "text_bytes"]
+__all__ = ["NO_ID", "WORD", "cut", "filled", "free", "reachable", "shared_dir", "stored", "table", "text_bytes"]
 
 #: A word is a run of bytes outside space and 0x09-0x0D; other Unicode spaces are part of words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,3 +30,11 @@ def text_bytes(texts: pa.Array) -> list[bytes]:
 def filled(name: str | Column = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """`name`, with underscores until `df` has no column of it; Spark tells names apart without case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -28,16 +28,74 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Public license wording in template markup.
+#: What a holder, a year or a name may be.
+_HOLDER = "<<var;min=1;max=12>>"
+_AS_IS = (
+    "this software is provided by " + _HOLDER + " as is and any express or implied warranties including but not limited to the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed in no event shall " + _HOLDER + " be liable for any direct indirect incidental special exemplary or "
+    "consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on "
+    "any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of "
+    "the possibility of such damage"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+    "documentation and or other materials provided with the distribution "
+)
+
+#: Public license wording in template markup, whole texts and the notices that stand for them.
 TEMPLATES = {
+    "mit-text": (
+        "<<beginOptional>><<beginOptional>>the<<endOptional>> mit license <<beginOptional>>mit<<endOptional>><<endOptional>> "
+        "<<beginOptional>>copyright <<beginOptional>>c<<endOptional>> <<var;min=1;max=20>><<endOptional>> "
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> "
+        "shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to "
+        "the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall " + _HOLDER + " be liable for any claim damages or other liability whether "
+        "in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+    ),
+    "isc-text": (
+        "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright "
+        "notice and this permission notice appear in all copies the software is provided as is and " + _HOLDER + " disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall " + _HOLDER + " be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from "
+        "loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ),
+    "bsd-2-text": _BSD + _AS_IS,
+    "bsd-3-text": _BSD + (
+        "<<beginOptional>>3<<endOptional>> neither the name of " + _HOLDER + " nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission "
+    ) + _AS_IS,
+    "zlib-text": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is "
+        "granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "<<beginOptional>>1<<endOptional>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an "
+        "acknowledgment in the product documentation would be appreciated but is not required <<beginOptional>>2<<endOptional>> altered source versions must be plainly marked as such and must not "
+        "be misrepresented as being the original software <<beginOptional>>3<<endOptional>> this notice may not be removed or altered from any source distribution"
+    ),
+    "unlicense-text": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or "
+        "as a compiled binary for any purpose commercial or non commercial and by any means"
+    ),
+    "apache-2-header": (
+        "licensed under the apache license version 2 0 <<beginOptional>>the license<<endOptional>> you may not use <<var;min=1;max=4>> except in compliance with the license you may obtain a copy "
+        "of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+        "basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
+    ),
+    "gpl-header": (
+        "<<var;min=1;max=4>> is free software you can redistribute it and or modify it under the terms of the gnu <<beginOptional>>lesser<<endOptional>> <<beginOptional>>affero<<endOptional>> "
+        "general public license as published by the free software foundation either version <<var;min=1;max=2>> of the license or <<beginOptional>>at your option<<endOptional>> any later version"
+    ),
     "mit-grant": "<<beginOptional>>released<<endOptional>> under the mit license <<beginOptional>>see the license file <<beginOptional>>for details<<endOptional>> <<endOptional>>",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and <<beginOptional>>to<<endOptional>> associated documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction",
-    "apache-2-header": "licensed under the apache license version 2 0 <<beginOptional>>the license<<endOptional>> you may not use this <<var;min=1;max=4>> except in compliance with the license",
     "apache-2-notice": "<<beginOptional>>licensed<<endOptional>> under the apache license version 2 <<beginOptional>>0<<endOptional>>",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc-text": "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted",
     "cc-by-nc-notice": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by nc <<beginOptional>>sa<<endOptional>> <<beginOptional>>nd<<endOptional>> <<var;min=1;max=1>> 0",
-    "gpl-notice": "under the terms of the gnu <<beginOptional>>lesser<<endOptional>> general public license as published by the free software foundation",
+    "gpl-notice": (
+        "licensed under the <<beginOptional>>terms of the<<endOptional>> gnu <<beginOptional>>lesser<<endOptional>> <<beginOptional>>affero<<endOptional>> general public license "
+        "<<beginOptional>>version<<endOptional>> <<var;min=1;max=1>>"
+    ),
+    "spdx-tag": "spdx license identifier <<var;min=1;max=1>>",
+    "all-rights-reserved": "<<beginOptional>>copyright <<var;min=1;max=12>><<endOptional>> all rights reserved",
 }
 
 #: Bytes that part words become spaces, A-Z become a-z, all others stay.

@@ -1,10 +1,12 @@
 """Mixing sources to target weights by temperature, by DataFrame functions only.
 
 A source of T tokens gets the weight T ** exponent / sum of these. The exponent is the largest one
-up to 1 whose weights have an entropy of `entropy` times that of equal weights; if that would
-repeat a source more than `repeats` times, it is raised until it doesn't. Both are found by
-sectioning the range of the exponent. A source's budget is its weight's share of `budget` tokens,
-by default all that there are.
+up to 1 whose weights have the target entropy; if that would repeat a source more than `repeats`
+times, it is raised until it doesn't. Both are found by sectioning the range of the exponent. The
+target entropy is `entropy` times that of equal weights or, if that is more, what lies at `gain` (0
+to 1) of the way from the entropy of the natural shares to that of equal weights; so with a gain
+above 0 the target binds and the exponent is below 1 as soon as shares differ. A source's budget
+is its weight's share of `budget` tokens, by default all that there are.
 
 Budgets are realised in blocks: a hash deals the documents of a source over BLOCKS blocks, each
 epoch runs through the blocks in a permutation of its own, and the last epoch ends inside a block,
@@ -24,11 +26,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, cut, filled, stored
+from tessella.llm.common import WORD, cut, filled, free, stored
 
 #: Blocks of each source.
 BLOCKS = 1024
 ENTROPY, REPEATS = 0.9, 4.0
+#: What the query and the pipeline take: half of the way to equal weights.
+GAIN = 0.5
+#: Up to so many rows of a plan (some 50 bytes each) are broadcast.
+PLANNED = 500_000
 #: Points that one job looks at when an exponent is sought, and how often.
 POINTS, ROUNDS = 16, 7
 
@@ -37,7 +43,7 @@ POINTS, ROUNDS = 16, 7
 class Mix:
     exponent: float
     budget: float
-    shares: DataFrame  # source, tokens, weight, quota: quota in tokens
+    shares: DataFrame  # source, tokens, natural, weight, quota: share of all tokens before and after, quota in tokens
 
 
 def luck(key: str, text: str) -> Column:
@@ -69,15 +75,16 @@ def _sought(sources: DataFrame, holds: str, low: float) -> float:
     return low
 
 
-def mixture(rows: DataFrame, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS) -> Mix | None:
+def mixture(rows: DataFrame, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, gain: float = 0.0) -> Mix | None:
     """Exponent and quotas for the sources of `rows` (source, tokens); None if there is no token."""
     sources = cut(rows.groupBy("source").agg(F.sum("tokens").cast("double").alias("t")).where("t > 0"))
-    n, total, least = sources.agg(F.count("*"), F.sum("t"), F.min("t")).first()
+    n, total, least, natural = sources.agg(F.count("*"), F.sum("t"), F.min("t"), F.expr("ln(sum(t)) - sum(t * ln(t)) / sum(t)")).first()
     if not n:
         return None
     budget = float(total) if budget is None else float(budget)
     # the entropy of weights t ** x / s is ln(s) - x * v / s and falls as x grows
-    exponent = _sought(sources, f"ln({{s}}) - {{x!r}} * {{v}} / {{s}} >= {entropy * math.log(n)!r} - 1e-12", 0.0)
+    target = max(entropy * math.log(n), natural + gain * (math.log(n) - natural))
+    exponent = _sought(sources, f"ln({{s}}) - {{x!r}} * {{v}} / {{s}} >= {target!r} - 1e-12", 0.0)
     # the smallest source is repeated most; from some exponent on, it isn't too often
     if budget <= repeats * total:
         over = f"{budget!r} * pow({least!r}, {{x!r}} - 1) / {{s}} > {repeats!r} * (1 + 1e-9)"
@@ -85,7 +92,7 @@ def mixture(rows: DataFrame, budget: float | None = None, entropy: float = ENTRO
             exponent = min(1.0, _sought(sources, over, exponent) + (1 - exponent) / POINTS**ROUNDS)
     norm = sources.agg(F.sum(F.pow("t", F.lit(exponent)))).first()[0]
     weight = F.pow("t", F.lit(exponent)) / F.lit(norm)
-    shares = sources.select("source", F.col("t").cast("long").alias("tokens"), weight.alias("weight"), F.floor(weight * budget + 1e-6).alias("quota"))
+    shares = sources.select("source", F.col("t").cast("long").alias("tokens"), (F.col("t") / total).alias("natural"), weight.alias("weight"), F.floor(weight * budget + 1e-6).alias("quota"))
     return Mix(exponent, budget, shares)
 
 
@@ -112,25 +119,31 @@ def taken_blocks(rows: DataFrame, mix: Mix) -> DataFrame:
     both = taken.join(cuts, F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")) & (F.col("epoch") == F.col("e2")), "left")
     rounds = F.col("quota") / F.col("tokens")
     return both.where("cut is null or last is not null").select(
-        "source", "block", "epoch", "last", ((F.col("epoch") + F.col("place") / F.col("blocks")) / rounds).alias("position0"), (1 / F.col("blocks") / rounds).alias("step"), "quota", "weight"
+        "source", "block", "epoch", "last", ((F.col("epoch") + F.col("place") / F.col("blocks")) / rounds).alias("position0"), (1 / F.col("blocks") / rounds).alias("step"), "quota", "natural", "weight"
     )
 
 
+def sized(plan: DataFrame) -> DataFrame:
+    """`plan` to be broadcast if it is small: at most BLOCKS rows for each source and epoch, but sources can be many."""
+    return F.broadcast(plan) if plan.count() <= PLANNED else plan
+
+
 def mixed(docs: DataFrame, plan: DataFrame, source: str = "source") -> DataFrame:
     """`docs` (with luck and block) once for each time they are taken, with _epoch, _position and the plan's weight and quota."""
-    told = plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns])
+    told = sized(cut(plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns])))
     took = docs.join(told, F.col(source).eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).where("_last is null or luck <= _last")
     within = (F.col("luck").cast("double") / 2.0**64) + 0.5
     return took.withColumn("_position", F.least(F.lit(1.0), F.col("_position0") + F.col("_step") * within)).drop("_source", "_block", "_last", "_position0", "_step")
 
 
 def mix_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **limits: float) -> DataFrame:
-    """(key, source, tokens, epoch, position, weight, quota) of every document, once for each time it is taken."""
+    """(key, source, tokens, epoch, position, exponent, natural, weight, quota) of every document, once for each time it is taken."""
     rows = slim(docs, key, text, source)
-    names = [F.col("key").alias(key), F.col("source").alias(source), "tokens", F.col("_epoch").alias("epoch"), F.col("_position").alias("position"), F.col("_weight").alias("weight"), F.col("_quota").alias("quota")]
     mix = mixture(rows, **limits)
+    exponent = F.lit(mix.exponent if mix else 1.0).alias("exponent")
+    names = [F.col("key").alias(key), F.col("source").alias(source), "tokens", F.col("_epoch").alias("epoch"), F.col("_position").alias("position"), exponent, F.col("_natural").alias("natural"), F.col("_weight").alias("weight"), F.col("_quota").alias("quota")]
     if mix is None:
-        none = rows.where("false").withColumns({"_epoch": F.lit(0).cast("long"), "_position": F.lit(0.0), "_weight": F.lit(0.0), "_quota": F.lit(0).cast("long")})
+        none = rows.where("false").withColumns({"_epoch": F.lit(0).cast("long"), "_quota": F.lit(0).cast("long")} | {c: F.lit(0.0) for c in ("_position", "_natural", "_weight")})
         return none.select(*names)
     return mixed(rows, taken_blocks(rows, mix)).select(*names)
 
@@ -141,8 +154,10 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     mix = mixture(rows, **limits)
     if mix is None:
         return docs.where("false")
-    plan = taken_blocks(rows, mix).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "block", "last")])
-    number = luck(key, text)
-    held = docs.withColumn("_mix_luck", number).withColumn("_mix_at", block_of(F.col("_mix_luck")))
-    took = held.join(plan, F.col(source).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_at") == F.col("_mix_block"))).where("_mix_last is null or _mix_luck <= _mix_last")
+    at = {c: free(docs, f"_mix_{c}") for c in ("source", "block", "last", "luck", "at")}
+    plan = sized(cut(taken_blocks(rows, mix).select(*[F.col(c).alias(at[c]) for c in ("source", "block", "last")])))
+    held = docs.withColumn(at["luck"], luck(key, text))
+    held = held.withColumn(at["at"], block_of(F.col(at["luck"])))
+    took = held.join(plan, F.col(source).eqNullSafe(F.col(at["source"])) & (F.col(at["at"]) == F.col(at["block"])))
+    took = took.where(F.col(at["last"]).isNull() | (F.col(at["luck"]) <= F.col(at["last"])))
     return took.select(*[F.col(f"`{c}`") for c in docs.columns])

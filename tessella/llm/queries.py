@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -96,6 +97,22 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"got.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
 
 
+def _pattern(template: str) -> str:
+    """A template as a regular expression over words that each end with a space."""
+    marks = re.sub(r"<<var;min=(\d+);max=(\d+)>>", r"\0\1,\2\0", template.replace("<<beginOptional>>", "\0(\0").replace("<<endOptional>>", "\0)\0"))
+    held = {"(": "(?:", ")": ")?"}
+    parts = marks.split("\0")
+    return "".join("".join(w + " " for w in x.split()) if i % 2 == 0 else held.get(x) or "(?:[^ ]+ ){%s}" % x for i, x in enumerate(parts))
+
+
+def _demanded(template: str) -> str:
+    """The longest run of words outside all regions, so that few texts are matched by the expression."""
+    text, before = template, None
+    while text != before:
+        before, text = text, re.sub(r"<<beginOptional>>(?:(?!<<(?:begin|end)Optional).)*<<endOptional>>", "|", text)
+    return max((" ".join(x.split()) for x in re.split(r"<<[^>]*>>|[|]", text)), key=len)
+
+
 OP4_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -106,15 +123,7 @@ p AS (
     CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' cc by nc ') THEN list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + 3], ' ') = 'cc by nc') ELSE [] END AS c FROM w),
 f AS (
   SELECT *, list_concat(list_concat(a, b), c) AS hits, list_filter(['apache-2', 'cc-by-nc', 'mit'], lambda x: len(CASE x WHEN 'mit' THEN a WHEN 'cc-by-nc' THEN c ELSE b END) > 0) AS base,
-    list_filter(['apache-2-header', 'apache-2-notice', 'bsd-text', 'cc-by-nc-notice', 'gpl-notice', 'isc-text', 'mit-grant', 'mit-text'], lambda x: regexp_matches(line, CASE x
-      WHEN 'apache-2-header' THEN ' licensed under the apache license version 2 0 (the license )?you may not use this ([^ ]+ ){1,4}except in compliance with the license '
-      WHEN 'apache-2-notice' THEN ' under the apache license version 2 '
-      WHEN 'bsd-text' THEN ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met '
-      WHEN 'cc-by-nc-notice' THEN ' licensed under (a )?(creative commons )?cc by nc (sa )?(nd )?[^ ]+ 0 '
-      WHEN 'gpl-notice' THEN ' under the terms of the gnu (lesser )?general public license as published by the free software foundation '
-      WHEN 'isc-text' THEN ' permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted '
-      WHEN 'mit-grant' THEN ' under the mit license '
-      ELSE ' permission is hereby granted free of charge to any person obtaining a copy of this software and (to )?associated documentation files (the software )?to deal in the software without restriction ' END)) AS more FROM p)
+    list_filter([""" + ", ".join(f"'{k}'" for k in sorted(licenses.TEMPLATES)) + r"""], lambda x: CASE x """ + " ".join(f"WHEN '{k}' THEN contains(line, '{_demanded(t)}') AND regexp_matches(line, ' {_pattern(t)}')" for k, t in licenses.TEMPLATES.items()) + r""" END) AS more FROM p)
 SELECT doc_id, len(w) AS n_words, len(hits) AS n_base, list_min(hits) AS first_word, list_max(hits) AS last_word, array_to_string(base, ',') AS base_labels,
   array_to_string(list_sort(list_concat(base, more)), ',') AS labels, CASE WHEN len(more) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM f"""
 
@@ -138,7 +147,7 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_ids(table(spark, sf_dir, "documents"))
+    return mixing.mix_ids(table(spark, sf_dir, "documents"), gain=mixing.GAIN)
 
 
 def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
