@@ -7,8 +7,9 @@ backwards, and each path becomes one formatted text with a loss mask.
 
 A message whose parent isn't in its tree counts as a root. Messages on a cycle belong to no path.
 Of equal scores the longer path wins, then the smaller leaf. Null score: 0. Null text or role:
-empty. Null trees are one tree. Repeated (tree, node) rows are the caller's to number apart.
-Empty tables give no rows.
+empty. Null trees are one tree. Of repeated (tree, node) rows one counts: the one with the smallest
+parent, null first, then the smallest score; its text is the one with the smallest role and text of
+them all. A message without a node can't be answered and is left out. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -59,7 +60,8 @@ def best_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
 
     messages: tree, node, parent (null at a root), score; all else is left out.
     """
-    m = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
+    one = messages.where("node is not null").select("tree", "node", F.struct("parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total")).alias("x"))
+    m = cut(one.groupBy("tree", "node").agg(F.min("x").alias("x")).select("tree", "node", "x.*"))
     there = m.select(F.col("tree").alias("t2"), F.col("node").alias("n2"))
     linked = m.join(there, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("n2")), "left")
     paths, hops = _doubled(linked.select("tree", "node", F.col("n2").alias("up"), "total", F.lit(1).alias("depth")))
@@ -90,6 +92,9 @@ def format_trees(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     texts = messages.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = best_paths(messages, per_tree).join(texts, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")))
     turns = chosen.select("tree", "leaf", "depth", "role", _by_role(F.col("role"), 0).alias("head"), escape(F.col("text")).alias("body"), _by_role(F.col("role"), 1).alias("tail"))
+    # repeated rows bring a depth several times; the first of them counts
+    order = Window.partitionBy("tree", "leaf").orderBy("depth", "role", "body")
+    turns = turns.withColumn("above", F.lag("depth").over(order)).where("above is null or above < depth").drop("above")
     before = Window.partitionBy("tree", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = [F.char_length(x) for x in ("head", "body", "tail")]
     turns = turns.withColumn("end", F.sum(sum(sizes, F.lit(0)).cast("long")).over(before))

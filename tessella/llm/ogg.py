@@ -7,7 +7,8 @@ granule positions into times. `packets` gives all packets of a table of files as
 
 Null and empty: a null text is stored as the empty text (64 samples of 0). A null file reads as
 null. A file with damaged, missing or cut pages is read as far as its sound pages go; `bad_pages`
-and `gaps` count what is amiss, a packet that lost a part is left out.
+and `gaps` count what is amiss, a packet that lost a part is left out. Headers and notes of other
+lengths than those written here give no rate or no size: no times, a null text size.
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def decode(media: bytes) -> dict:
                     new.append(part + body[begin : begin + size])
                 part, begin, size = b"", begin + size, 0
         s["part"] = None if skip else part + body[begin : begin + size] if size else None
-        if new and not s["packets"] and new[0].startswith(SAMPLES):
+        if new and not s["packets"] and new[0].startswith(SAMPLES) and len(new[0]) >= len(SAMPLES) + 4:
             s["rate"] = struct.unpack_from("<I", new[0], len(SAMPLES))[0]
         # a page's granule position is that of the last packet that ends on it
         for k, packet in enumerate(new):
@@ -169,8 +170,8 @@ def _summary(media: bytes | None) -> dict | None:
         if head.startswith(SAMPLES):
             payload = b"".join(p for p, _, _ in s["packets"][1:])
             end = max([0.0, *(t for _, _, t in s["packets"] if t is not None)])
-        elif head.startswith(NOTES) and len(s["packets"]) > 1:
-            text_size = struct.unpack("<Q", s["packets"][1][0])[0]
+        elif head.startswith(NOTES) and len(s["packets"]) > 1 and len(s["packets"][1][0]) == 8:
+            text_size = struct.unpack("<q", s["packets"][1][0])[0]
     x = np.frombuffer(payload, np.uint8)
     loud = float(np.sqrt(np.square(x, dtype=np.float64).mean())) if len(x) else 0.0
     turns = int(np.count_nonzero((x[1:] >= 96) != (x[:-1] >= 96)))
