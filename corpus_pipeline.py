@@ -12,37 +12,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import line_crf, mixing, ngram_join, packing, quality_model
-from tessella.llm.common import reachable, stored, table
+from tessella.llm.common import free, reachable, stored, table
 
 #: Near-duplicates of the join stage: sets of five words that are alike by 0.8.
-NEAR = ngram_join.Rule(shingle=5, percent=80, agree=3, blocked=24)
+NEAR = ngram_join.Rule(shingle=5, percent=80, blocked=24)
+#: Up to so many ids (8 bytes each) are broadcast.
+LISTED = 1_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules reject go. The field is trained on the rated documents."""
     weights = line_crf.fit(line_crf.training_lines(docs, table(spark, sf_dir, "labels")))
-    return docs.withColumn("_verdict", line_crf.line_rules(weights)("text")).where("_verdict.kept").drop("_verdict")
+    return docs.where(line_crf.line_rules(weights)("text")["kept"])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model rejects go. It is trained on the rated ones among them."""
     model = quality_model.train(docs, quality_model.graded(table(spark, sf_dir, "labels")))
-    return docs.withColumn("_verdict", quality_model.grade(model)("text")).where("_verdict.kept").drop("_verdict")
+    return docs.where(quality_model.grade(model)("text")["kept"])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id. Of rows with equal id and text, one stays."""
     reachable(spark)
-    classes = ngram_join.jaccard_classes(docs, rule=NEAR)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).withColumn("_text", F.xxhash64("text"))
-    return one.dropDuplicates(["doc_id", "_text"]).drop("_kept", "_text")
+    of = free(docs, "_kept")
+    classes = ngram_join.jaccard_classes(docs, rule=NEAR).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = stored(classes.groupBy(F.col("doc_id").alias(of)).agg(F.count("*").alias("n")))
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        ids = F.broadcast(ids) if ids.count() <= LISTED else ids
+        return docs.join(ids.select(of), F.col("doc_id").eqNullSafe(F.col(of)), "left_semi")
+
+    # only ids that several rows have need their texts compared
+    digest = free(docs, "_digest")
+    several = rows_of(kept.where("n > 1")).withColumn(digest, F.xxhash64("text")).dropDuplicates(["doc_id", digest]).drop(digest)
+    return rows_of(kept.where("n = 1")).unionAll(several)
 
 
 def temperature_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents once for each time the mixture takes them."""
     reachable(spark)
-    return mixing.mix_documents(docs)
+    return mixing.mix_documents(docs, gain=mixing.GAIN)
 
 
 def best_fit_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
