@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.catalog import query
+from tessella.catalog.draws import DRAWS, picks_sql, uniform_sql
 from tessella.catalog.structure import _N, nodes
 from tessella.operators import graph, judging, labels, ranges, resampling, variants
 from tessella.views import predictions, read, reviews, snippets, with_views
@@ -91,7 +92,8 @@ def nesting_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("max_nesting").agg(F.count("*").alias("graphs"), F.sum("n").alias("nodes"))
 
 
-@query()
+@query(_N + """ SELECT a.page_id, a.node_index, coalesce(min(b.node_index), (SELECT max(x.node_index) + 1 FROM n x WHERE x.page_id = a.page_id)) - a.node_index AS size
+  FROM n a LEFT JOIN n b ON b.page_id = a.page_id AND b.node_index > a.node_index AND b.depth <= a.depth GROUP BY a.page_id, a.node_index""")
 def subtree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = graph.subtree_ends(nodes(spark, sf_dir), "page_id")
     return ends.select("page_id", "node_index", (F.col("end") - F.col("node_index")).alias("size"))
@@ -106,26 +108,47 @@ def variant_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupingSets([["level", "transform", "status"], ["transform", "status"]], "level", "transform", "status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_P + """, units AS (SELECT seed, k1, count(*) FILTER ((prob >= 0.5) = (y = 1)) AS hits, count(*) AS k FROM predictions WHERE part = 'test' GROUP BY seed, k1), """ + picks_sql("units", ["seed"], "k1", 100)
+  + """, v AS (SELECT seed, draw, sum(hits * times) / sum(k * times) AS v FROM drawn GROUP BY seed, draw), p AS (SELECT seed, sum(hits) / sum(k) AS value FROM units GROUP BY seed)
+  SELECT p.seed, round(max(p.value), 6) AS value, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS draws FROM p JOIN v ON v.seed = p.seed GROUP BY p.seed""")
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of each seed's predictions with an interval over draws of whole orders."""
     rows = predictions(spark, sf_dir).where("part = 'test'").select("seed", "k1", ((F.col("prob") >= 0.5) == (F.col("y") == 1)).cast("long").alias("right"), F.lit(1).cast("long").alias("n"))
-    return resampling.bootstrap(rows, ["seed"], "k1", ["right", "n"], F.col("right") / F.col("n"), 100)
+    out = resampling.bootstrap(rows, ["seed"], "k1", ["right", "n"], F.col("right") / F.col("n"), 100)
+    return out.withColumns({c: F.round(c, 6) for c in ("value", "low", "high")})
 
 
-@query()
+@query(_V + f""", r AS (SELECT id, sample, CASE WHEN severity > 0 THEN 1 ELSE 0 END AS v FROM reviews WHERE severity IS NOT NULL),
+  e AS (SELECT d AS draw, id, sample, v, CASE WHEN d < 0 THEN 0 ELSE {uniform_sql(0, 'd', 'sample')} END AS u FROM r CROSS JOIN range(-1, {DRAWS}) t(d)),
+  z AS (SELECT draw, v, sum(1 - v) OVER (PARTITION BY draw ORDER BY u, CASE WHEN draw < 0 THEN id ELSE 0 END, sample, id ROWS UNBOUNDED PRECEDING) AS z FROM e),
+  l AS (SELECT draw, max(k) AS longest FROM (SELECT draw, z, count(*) AS k FROM z WHERE v = 1 GROUP BY draw, z) GROUP BY draw), o AS (SELECT longest AS observed FROM l WHERE draw < 0)
+  SELECT observed, round((1 + count(*) FILTER (longest >= observed)) / (1 + count(*)), 6) AS p FROM l, o WHERE draw >= 0 GROUP BY observed""")
 def run_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reviews(spark, sf_dir).where("severity is not null").select("sample", "id", (F.col("severity") > 0).cast("int").alias("v"))
-    return resampling.permutation_p(resampling.block_permutation(rows, "sample", "id", "v", 50))
+    return resampling.permutation_p(resampling.block_permutation(rows, "sample", "id", "v", DRAWS)).withColumn("p", F.round("p", 6))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source AS g, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS place FROM documents),
+  b AS (SELECT g, place AS begins, 0 AS batch, place + greatest(1, least(32, 100000 // greatest(n_chars, 1))) AS nxt FROM d WHERE place = 0
+    UNION ALL SELECT d.g, d.place, b.batch + 1, d.place + greatest(1, least(32, 100000 // greatest(d.n_chars, 1))) FROM b JOIN d ON d.g = b.g AND d.place = b.nxt)
+  SELECT d.g, d.doc_id, CAST(b.batch AS INTEGER) AS batch FROM d JOIN b ON b.g = d.g AND d.place >= b.begins AND d.place < b.nxt""")
 def budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select(F.col("source").alias("g"), "doc_id", "n_chars")
     return ranges.budget_batches(rows, "g", "doc_id", "n_chars", 32, 100_000)
 
 
-@query()
+@query("""WITH s AS (SELECT o_custkey % 50 AS g, o_orderkey AS a, o_orderkey + o_custkey % 37 AS b FROM orders WHERE o_orderkey % 2 = 0), t AS (SELECT o_custkey % 50 AS g, o_orderkey AS a, o_orderkey + o_custkey % 41 AS b FROM orders WHERE o_orderkey % 2 = 1),
+  j AS (SELECT s.g, s.a AS a_start, s.b AS a_end, t.a AS b_start, t.b AS b_end, (least(s.b, t.b) - greatest(s.a, t.a) + 1) / (greatest(s.b, t.b) - least(s.a, t.a) + 1) AS iou FROM s JOIN t ON t.g = s.g AND s.a <= t.b AND t.a <= s.b),
+  r AS (SELECT *, row_number() OVER (PARTITION BY g, a_start, a_end ORDER BY iou DESC, b_start, b_end) AS r FROM j)
+  SELECT g, a_start, a_end, b_start, b_end, round(iou, 6) AS iou FROM r WHERE r = 1""")
+def best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each even order's span the odd one's that overlaps it best."""
+    orders = read(spark, sf_dir, "orders")
+    spans = lambda parity, k: orders.where(F.col("o_orderkey") % 2 == parity).select((F.col("o_custkey") % 50).alias("g"), F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + F.col("o_custkey") % k).alias("b"))
+    return ranges.best_overlap(spans(0, 37), spans(1, 41), "g", "a", "b").withColumn("iou", F.round("iou", 6))
+
+
+@query("SELECT 'read' AS name, CAST(NULL AS VARCHAR) AS error, count(*) AS n FROM conversations WHERE role = 'assistant'")
 def tool_call_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls in the assistant's turns, as a transcript would have them: every text is put into one."""
     text = F.concat(F.lit('<tool_call>{"name": "read", "arguments": {"chars": '), F.char_length("text").cast("string"), F.lit("}}</tool_call>"))

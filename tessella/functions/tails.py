@@ -178,3 +178,14 @@ def likelihood_ratio(small: float, large: float, added: int) -> tuple[float, flo
     """Drop of the deviance by so many added columns, and its p."""
     drop = max(0.0, small - large)
     return drop, chi2_sf(drop, added)
+
+
+def t_quantile(p: float, df: int) -> float:
+    """The point below which Student's t lies with probability p, for p of 0.5 or more."""
+    low, high = 0.0, 1.0
+    while t_sf(high, df) > 1 - p:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_sf(middle, df) > 1 - p else (low, middle)
+    return (low + high) / 2

@@ -101,3 +101,9 @@ def stratified_auc(rows: DataFrame, by: Sequence[str], stratum: str) -> DataFram
     won = F.col("pos") * (F.col("all_neg") - above - F.col("neg") / 2)
     strata = steps.groupBy(*by, stratum).agg(F.sum(won).alias("won"), F.max(F.col("all_pos") * F.col("all_neg")).alias("pairs"))
     return strata.groupBy(*by).agg(ratio(F.sum("won"), F.sum("pairs"), None).alias("auc"))
+
+
+def random_expectation(rows: DataFrame, by: Sequence[str], budget: float = 0.2) -> DataFrame:
+    """(by, expected_recall, positives, expected_ifa) of a random order: recall grows with effort, and k positives part the n - k others into k + 1 equal stretches."""
+    n, k = F.count("*"), F.sum("y").cast("long")
+    return rows.groupBy(*by).agg(F.lit(budget).alias("expected_recall"), k.alias("positives"), ((n + 1) / (k + 1) - 1).alias("expected_ifa"))

@@ -33,6 +33,13 @@ def differences(old: DataFrame, new: DataFrame, key: Sequence[str], columns: Seq
     return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*key, status.alias("status"), F.when(status == "changed", F.array_join(unlike, ",")).otherwise("").alias("columns"))
 
 
+def matched(left: DataFrame, right: DataFrame, key: Sequence[str], no_right: str, no_left: str) -> DataFrame:
+    """Both sides by key with a `status`: both, or which of them is missing."""
+    a, b = left.withColumn("_l", F.lit(1)), right.withColumn("_r", F.lit(1))
+    status = F.when(F.col("_r").isNull(), no_right).when(F.col("_l").isNull(), no_left).otherwise("both")
+    return a.join(b, [*key], "full_outer").withColumn("status", status).drop("_l", "_r")
+
+
 def in_all(rows: DataFrame, key: Sequence[str], source: str, sources: int) -> DataFrame:
     """Rows whose key every source has."""
     common = rows.groupBy(*key).agg(F.countDistinct(source).alias("_n")).where(F.col("_n") == sources).drop("_n")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tessella.functions.scalar import truth
+from tessella.plans.lineage import cut
 
 
 def hashed(seed: int, key: Column | str) -> Column:
@@ -78,3 +83,90 @@ def with_negatives(rows: DataFrame, key: str, y: str, ratio: float, seed: int =
     rank = F.row_number().over(Window.partitionBy(y).orderBy(hashed(seed, key), key))
     positives = F.broadcast(rows.agg(F.coalesce(F.sum(y), F.lit(0)).alias("_p")))  # one row
     return rows.withColumn("_r", rank).join(positives).where((F.col(y) == 1) | (F.col("_r") <= F.floor(F.lit(ratio) * F.col("_p")))).drop("_r", "_p")
+
+
+def round_robin_all(rows: DataFrame, key: str, shards: int) -> DataFrame:
+    """Every row with the `shard` that takes it: its position in the order of keys, in turn.
+
+    Positions are counted range by range, so no task has all rows.
+    """
+    ranges = rows.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id())
+    held = cut(ranges)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range
+    starts = held.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1 + F.col("_before")
+    return held.join(F.broadcast(starts), "_range").withColumn("shard", F.pmod(at, F.lit(shards)).cast("long")).drop("_range", "_before")
+
+
+def greedy_groups(rows: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, rows, fold): groups, largest first, each to the fold that has the fewest rows, the first of equal ones.
+
+    The sizes of groups meet in one task, a row for each group.
+    """
+    kind = rows.schema[group].dataType.simpleString()
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(-n, g) for b in batches for g, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        folds, out = [0] * k, []
+        for n, g in sorted(held, key=lambda x: (x[0], x[1] is not None, x[1])):
+            at = folds.index(min(folds))
+            folds[at] -= n
+            out.append((g, -n, at))
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], types[0]), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], [group, "rows", "fold"])
+
+    types = [to_arrow_type(rows.schema[group].dataType)]
+    sizes = rows.groupBy(group).agg(F.count("*").alias("rows")).coalesce(1)
+    return sizes.mapInArrow(dealt, f"`{group}` {kind}, rows bigint, fold bigint")
+
+
+def greedy_labels(rows: DataFrame, key: str, labels: Sequence[str], parts: dict[str, float], seed: int = 0) -> DataFrame:
+    """(key, part): rows with many rare labels first, each to the part that needs its labels most, has room, and comes first by name.
+
+    Rows of one label pattern are alike but for their hash order, so the plan is made from the counts
+    of patterns: pattern by pattern, the rarest labels first, each part takes its share, and the row
+    left over goes to the part whose labels are furthest from their shares.
+    """
+    pattern = F.concat_ws("", *[F.coalesce(F.col(c), F.lit(0)).cast("string") for c in labels])
+    held = rows.select(key, pattern.alias("_pattern"))
+    counts = {r["_pattern"]: r["n"] for r in held.groupBy("_pattern").agg(F.count("*").alias("n")).collect()}  # 2 ** labels at most
+    total = [sum(n for p, n in counts.items() if p[i] == "1") for i in range(len(labels))]
+    names = sorted(parts)
+    need = {a: [parts[a] * t for t in total] for a in names}
+    room = {a: parts[a] * sum(counts.values()) for a in names}
+    rank = lambda p: (min((total[i] for i in range(len(labels)) if p[i] == "1"), default=1 << 60), -p.count("1"), p)
+    cuts = []
+    for p in sorted(counts, key=rank):
+        left, at = counts[p], 0
+        shares = {a: int(parts[a] * counts[p]) for a in names}
+        ask = lambda a, p=p: (sum(need[a][i] for i in range(len(labels)) if p[i] == "1"), room[a])
+        while sum(shares.values()) < left:
+            best = max(names, key=lambda a: (*(x - shares[a] for x in ask(a)), a))
+            shares[best] += 1
+        for a in names:
+            n = shares[a]
+            cuts.append((p, at, at + n, a))
+            at += n
+            room[a] -= n
+            need[a] = [x - n * (p[i] == "1") for i, x in enumerate(need[a])]
+    plan = rows.sparkSession.createDataFrame(cuts or [("", 0, 0, "")], "_p string, _from long, _to long, part string")  # parts x patterns
+    place = F.row_number().over(Window.partitionBy("_pattern").orderBy(hashed(seed, key), key)) - 1
+    placed = held.withColumn("_at", place).join(F.broadcast(plan), (F.col("_pattern") == F.col("_p")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
+    return placed.select(key, "part")
+
+
+def with_validation(folds: DataFrame, key: str, strata: Sequence[str], k: int, tenth: int, seed: int = 1) -> DataFrame:
+    """(fold, key, part): each row's part in every fold; of the next fold one row in `tenth` of each stratum validates."""
+    place = F.row_number().over(Window.partitionBy("fold", *strata).orderBy(hashed(seed, key), key)) - 1
+    each = folds.withColumn("_q", place).withColumn("_test", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
+    inner = (F.col("fold") == (F.col("_test") + 1) % k) & (F.col("_q") % tenth == F.col("_test") % tenth)
+    part = F.when(F.col("fold") == F.col("_test"), "test").when(inner, "val").otherwise("train")
+    return each.select(F.col("_test").alias("fold"), key, part.alias("part"))
+
+
+def flagged(rows: DataFrame, key: str, flags: DataFrame, flag_key: str, flag: str) -> DataFrame:
+    """`rows` whose flag is true; a row without a flag, or with one that is neither, is an error when it is read."""
+    held = flags.select(F.col(flag_key).alias("_k"), truth(F.col(flag)).alias("_flag"))
+    checked = F.when(F.col("_flag").isNull(), F.raise_error(F.concat(F.lit("no flag: "), F.col(key).cast("string"))).cast("int")).otherwise(F.col("_flag"))
+    return rows.join(held, F.col(key) == F.col("_k"), "left").withColumn("_flag", checked).where("_flag = 1").drop("_k", "_flag")

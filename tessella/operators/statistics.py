@@ -87,3 +87,11 @@ def best_epoch(history: DataFrame, by: Sequence[str], epoch: str, metric: str, p
     stopped = F.max(((F.col(epoch) - F.col("_at")) >= patience).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     live = marked.withColumn("_stop", F.coalesce(stopped, F.lit(0))).where("_stop = 0 and _better = 1")
     return live.groupBy(*by).agg(F.max(F.struct(metric, epoch)).alias("m")).select(*by, F.col(f"m.{epoch}").alias(epoch), F.col(f"m.{metric}").alias(metric))
+
+
+def signed_ranks(rows: DataFrame, d: str, zero: float = 1e-12) -> DataFrame:
+    """(n, w): differences that aren't 0, and the smaller sum of the ranks of their sizes by sign; sizes equal to 12 digits are tied."""
+    held = rows.where(F.abs(d) > zero).select(F.col(d).alias("_d"), F.round(F.abs(d), 12).alias("_a")).withColumn("_one", F.lit(1))
+    ranked = held.withColumn("_r", average_rank("_a", ["_one"]))
+    out = ranked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0)).alias("plus"))
+    return out.select("n", F.least("plus", F.col("n") * (F.col("n") + 1) / 2 - F.col("plus")).alias("w"))

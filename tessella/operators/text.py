@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from tessella.functions.scalar import padded
 TOKEN = r"""[a-zA-Z_][\p{L}\p{N}_]*|[{}()\[\];,.<>=!&|+\-*/:%^~?@#]|"[^"]*"|'[^']*'|[0-9]+"""
 #: The first two ids of a vocabulary.
 PAD, UNKNOWN = 0, 1
+#: Short lists that a vocabulary is hashed into.
+SLOTS = 8192
 #: Kinds of code lines with the patterns that tell them, in the order they are tried.
 KINDS = {
     "braces only": (r"^[{}();]*$",),
@@ -38,13 +41,22 @@ def vocabulary(rows: DataFrame, text: str, order: str, size: int = 10_000, least
 
 
 def encoded(rows: DataFrame, key: str, text: str, vocab: DataFrame, length: int = 512) -> DataFrame:
-    """(key, ids): token ids, unknown ones as 1, filled up with 0; the vocabulary has a bounded size."""
-    seen = rows.select(key, F.posexplode_outer(tokens(F.col(text), length)).alias("at", "token"))
-    found = seen.join(F.broadcast(vocab.select("token", "id")), "token", "left")
-    ids = found.where("at is not null").withColumn("id", F.coalesce("id", F.lit(UNKNOWN).cast("long")))
-    lists = ids.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))
-    none = F.array().cast("array<bigint>")
-    return rows.select(key).join(lists, key, "left").select(key, padded(F.coalesce("ids", none), length, F.lit(PAD).cast("long")).alias("ids"))
+    """(key, ids): token ids, unknown ones as 1, filled up with 0; the vocabulary has a bounded size.
+
+    The vocabulary becomes a constant, hashed into short lists, that each text's tokens are looked up in
+    where the text is; nothing is shuffled.
+    """
+    entries = [(r.token, r.id, r.at) for r in vocab.select("token", "id", F.pmod(F.xxhash64("token"), F.lit(SLOTS)).alias("at")).collect()]
+    slots: list[list[dict]] = [[] for _ in range(SLOTS)]
+    for token, number, at in entries:
+        slots[at].append({"t": token, "i": number})
+    held = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<t:string,i:bigint>>>")  # folded into one constant
+
+    def id_of(token: Column) -> Column:
+        slot = F.get(held, F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int"))
+        return F.coalesce(F.get(F.filter(slot, lambda e: e["t"] == token), 0)["i"], F.lit(UNKNOWN).cast("long"))
+
+    return rows.select(key, padded(F.transform(tokens(F.col(text), length), id_of), length, F.lit(PAD).cast("long")).alias("ids"))
 
 
 def chunk_stats(rows: DataFrame, by: Sequence[str], text: str, chunk: int = 512) -> DataFrame:

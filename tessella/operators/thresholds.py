@@ -31,9 +31,10 @@ def step_of(p: Column, thresholds: Sequence[float]) -> Column:
     return F.when(F.get(held, guess) <= p, F.when((guess < n - 1) & (F.get(held, guess + 1) <= p), guess + 1).otherwise(guess)).otherwise(guess - 1)
 
 
-def sweep(rows: DataFrame, by: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
-    """(by, step, t, tp, fp, fn, tn) of every threshold of the grid."""
-    counts = rows.groupBy(*by, step_of(F.col("p"), thresholds).alias("at")).agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+def sweep(rows: DataFrame, by: Sequence[str], thresholds: Sequence[float], weight: str | None = None) -> DataFrame:
+    """(by, step, t, tp, fp, fn, tn) of every threshold of the grid; with `weight`, rows count so many times."""
+    times = F.lit(1) if weight is None else F.col(weight)
+    counts = rows.groupBy(*by, step_of(F.col("p"), thresholds).alias("at")).agg(F.sum(F.col("y") * times).cast("long").alias("pos"), F.sum((1 - F.col("y")) * times).cast("long").alias("neg"))
     whole = Window.partitionBy(*by)
     counts = counts.withColumns({"all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole)})
     # a row for each step that has rows, the first also for those below; steps between two take the counts of the upper one

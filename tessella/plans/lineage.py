@@ -59,9 +59,23 @@ def sweep() -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder, to be removed when the driver's Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tessella-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes one small file from the driver, by Hadoop's file systems."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(content))
+    out.close()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back; it stays there until the driver ends."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessella-{uuid.uuid4().hex}"
-    _WRITTEN.append((df.sparkSession, path))
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

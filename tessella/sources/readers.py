@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 import struct
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from io import BytesIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tessella.functions.scalar import signed_log1p
 
 
 def expanded(spark: SparkSession, pattern: str) -> list[str]:
@@ -38,14 +40,41 @@ def csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ","
     return spark.read.schema(schema).options(header=True, sep=sep, quote='"', escape='"', multiLine=True).csv(expanded(spark, path))
 
 
-def feature_csv(spark: SparkSession, path: str, key: str, exclude: Sequence[str] = (), labels: Sequence[str] = ()) -> DataFrame:
-    """The key and all other columns as doubles; a column that looks like a label is an error unless excluded."""
-    raw = spark.read.options(header=True, inferSchema=False).csv(expanded(spark, path))
-    names = [c for c in raw.columns if c != key and c not in exclude]
+def jsonl_problems(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """(file, line) of the lines that the tolerant scan leaves out."""
+    held = StructType([*(schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).fields, StructField("_line", StringType())])
+    rows = spark.read.text(expanded(spark, path)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    bad = F.from_json("line", held, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"})["_line"]
+    return rows.where(bad.isNotNull())
+
+
+def feature_csv(spark: SparkSession, path: str, key: str, exclude: Sequence[str] = (), labels: Sequence[str] = (), signed_log: Sequence[str] = ()) -> DataFrame:
+    """The key and all other columns as doubles, those of `signed_log` as sign times log1p; a column that looks like a label is an error unless excluded.
+
+    All files must have the header of the first.
+    """
+    paths = expanded(spark, path)
+    names = spark.read.options(header=True, inferSchema=False).csv(paths[0]).columns
+    raw = spark.read.options(header=True, enforceSchema=False).schema(StructType([StructField(c, StringType()) for c in names])).csv(paths)
+    names = [c for c in names if c != key and c not in exclude]
     leaks = [c for c in names if c in labels or re.match(r"(y|label)(_|$)", c.lower())]
     if leaks:
         raise ValueError(f"labels among the features: {leaks}")
-    return raw.select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in names])
+    value = lambda c: signed_log1p(F.col(c).cast("double")) if c in signed_log else F.col(c).cast("double")
+    return raw.select(F.col(key).cast("long").alias(key), *[value(c).alias(c) for c in names])
+
+
+def named(rows: DataFrame, file: str) -> DataFrame:
+    """`rows` with json_index and y (array of int) as the name of their file tells them: `idx_12`, `y_0_1`; null where it doesn't."""
+    digits = F.regexp_extract(file, r"(?:^|[^A-Za-z])y((?:[_-]?[01])+)(?![0-9])", 1)
+    y = F.when(digits != "", F.transform(F.regexp_extract_all(digits, F.lit("[01]"), F.lit(0)), lambda x: x.cast("int")))
+    return rows.withColumns({"json_index": F.regexp_extract(file, r"idx[_-]?(\d+)", 1).try_cast("long"), "y": y})
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a manifest of graphs that were made or left out on purpose, by json_index."""
+    rows = jsonl(spark, path, "json_index long, status string, dot_file string")
+    return rows.where(F.col("status").isin("success", "skipped")).orderBy("json_index")
 
 
 def sharded(spark: SparkSession, pattern: str, schema: StructType | str, tolerant: bool = False) -> DataFrame:
@@ -172,14 +201,28 @@ def zip_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return files.mapInArrow(rows, "archive string, member string, text string")
 
 
-def source_tree(spark: SparkSession, path: str, suffix: str = ".java") -> DataFrame:
-    """(path, text) of all files below a folder with this ending."""
+def source_tree(spark: SparkSession, path: str, suffix: str = ".java", numbered: bool = False) -> DataFrame:
+    """(path, text) of all files below a folder with this ending; `numbered` adds their `place` in the order of paths."""
     files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=f"*{suffix}").load(path)
-    return files.select("path", F.col("content").cast("string").alias("text"))
+    rows = files.select("path", F.col("content").cast("string").alias("text"))
+    if not numbered:
+        return rows
+    # a path a file; texts stay out of the one task that numbers them
+    places = files.select(F.col("path").alias("_path")).withColumn("place", (F.row_number().over(Window.orderBy("_path")) - 1).cast("long"))
+    return rows.join(places, F.col("path") == F.col("_path")).drop("_path")
+
+
+def npz_matrix(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(row, vector) of the array with this name in NPZ archives; an archive without it is an error."""
+    return _matrices(spark, path, lambda x: x[name])
 
 
 def npy_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(row, vector) of two-dimensional NPY files of floats, row by row."""
+    return _matrices(spark, path, lambda x: x)
+
+
+def _matrices(spark: SparkSession, path: str, pick: Callable) -> DataFrame:
     files = spark.read.format("binaryFile").load(expanded(spark, path)).select("path", "content")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +230,7 @@ def npy_matrix(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for content in batch.column(1).to_pylist():
-                x = np.load(BytesIO(content), allow_pickle=False)
+                x = pick(np.load(BytesIO(content), allow_pickle=False))
                 for at in range(0, len(x), 4096):
                     part = x[at : at + 4096].astype(np.float32)
                     yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.float32()))], ["row", "vector"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -30,8 +31,34 @@ def append_new(rows: DataFrame, path: str, key: Sequence[str]) -> int:
     return count
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_atomic(rows: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Replaces a table as a whole: written beside it first, so that a run that stops leaves the old one as it was."""
+    spark = rows.sparkSession
+    beside, before = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    rows.write.format(kind).save(beside)
+    fs, p = _folder(spark, path)
+    there = fs.exists(p)
+    if there:
+        fs.rename(p, _folder(spark, before)[1])
+    if not fs.rename(_folder(spark, beside)[1], p):
+        raise OSError(f"can't rename {beside} to {path}")
+    if there:
+        fs.delete(_folder(spark, before)[1], True)
+
+
+def drop_records(spark: SparkSession, path: str) -> None:
+    fs, p = _folder(spark, f"{path}/records")
+    fs.delete(p, True)
+
+
 def write_run(predictions: DataFrame, records: DataFrame, path: str) -> None:
-    """Predictions first, records last: a run without records isn't complete."""
+    """Predictions first, records last: a run without records isn't complete. Old records go before anything is written."""
+    drop_records(predictions.sparkSession, path)
     predictions.write.mode("overwrite").parquet(f"{path}/predictions")
     records.write.mode("overwrite").parquet(f"{path}/records")
 
