@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import collapsed, squashed
-from tessella.operators.components import components
+from tessella.operators import set_join
 from tessella.plans.lineage import stored
 
 #: A word of code: an identifier or a number; letters of any script go on an identifier.
 WORD = r"[a-zA-Z_][\p{L}\p{N}_]*|[0-9]+"
+#: Up to so many runs of the reference (16 bytes each) are broadcast.
+LISTED = 2_000_000
 
 
 def exact_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -22,46 +26,28 @@ def exact_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def token_sets(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, set, tokens): distinct tokens, sorted, and a digest that only equal sets share; null for the empty set. Written once."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))))
-    sets = rows.select(key, found.alias("tokens"))
-    return stored(sets.select(key, F.when(F.size("tokens") > 0, F.md5(F.array_join("tokens", " ").cast("binary"))).alias("set"), "tokens"))
+    """(key, tokens): hashes of the distinct tokens of each text. Written once."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0)), lambda t: F.xxhash64(t))
+    return stored(rows.select(key, F.array_distinct(found).alias("tokens")))
 
 
-def _first(sets: DataFrame, key: str) -> DataFrame:
-    return sets.where("set is not null").groupBy("set").agg(F.min(key).alias("_first"))
+def _hash_sets():
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+        return [np.unique(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+    return sets
 
 
 def jaccard_pairs(sets: DataFrame, key: str, percent: int = 90) -> DataFrame:
-    """(a, b, both, either): pairs of distinct token sets, each stood for by its smallest key, from this similarity on.
-
-    A set's tokens are ranked from the rarest on; only the first size - bound + 1 can be what a
-    linked pair has in common first, so only these meet in a join, within the bounds of sizes.
-    Empty sets pair with nothing.
-    """
-    firsts = _first(sets, key).select("_first")
-    each = sets.join(firsts, F.col(key) == F.col("_first"), "left_semi").where("set is not null").select(F.col(key).alias("id"), "tokens")
-    tokens = each.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    rare = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    # tokens that one set has alone come first in it, and pair with nothing
-    w = Window.partitionBy("id")
-    place = F.row_number().over(w.orderBy("df", "token")) + F.col("n") - F.count("*").over(w)
-    shared = tokens.join(rare, "token").withColumn("at", place)
-    prefix = shared.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "n", "token")
-    a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "token") for x in "ab")
-    near = a.join(b, "token").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
-    ta, tb = (each.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    full = near.join(ta, "a").join(tb, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")).cast("long"))
-    full = full.withColumn("either", F.size("ta") + F.size("tb") - F.col("both"))
-    return full.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b", "both", "either")
+    """(a, b, both, either): pairs of distinct token sets, each stood for by its smallest key, from this similarity on. Empty sets pair with nothing."""
+    return set_join.pairs(sets, key, "tokens", _hash_sets, set_join.Rule(percent=percent))
 
 
 def duplicate_classes(rows: DataFrame, key: str, text: str, percent: int = 90) -> DataFrame:
     """(key, class): the smallest key that a row is connected with by equal or similar token sets."""
-    sets = token_sets(rows, key, text)
-    linked = components(jaccard_pairs(sets, key, percent).select("a", "b"))
-    named = sets.select(key, "set").join(_first(sets, key), "set", "left").join(linked, F.col("_first") == F.col("node"), "left")
-    return named.select(key, F.coalesce("root", "_first", key).alias("class"))
+    found = set_join.classes(token_sets(rows, key, text), key, "tokens", _hash_sets, set_join.Rule(percent=percent))
+    return found.select(F.col("id").alias(key), F.col("component").alias("class"))
 
 
 def leakage(folds: DataFrame, classes: DataFrame, key: str) -> DataFrame:
@@ -97,4 +83,8 @@ def passages_of(rows: DataFrame, reference: DataFrame, key: str, text: str, ref_
         # bound by an outer lambda, so that a text is split once
         return df.select(k, F.explode(F.array_distinct(F.transform(F.array(said), hashes)[0])).alias("run"))
 
-    return runs(rows, key, text).join(runs(reference, ref_key, ref_text), "run").groupBy(key, ref_key).agg(F.count("*").alias("hits"))
+    wanted = stored(runs(reference, ref_key, ref_text))
+    small = wanted.count() <= LISTED
+    found = runs(rows, key, text)
+    # hits are few, so little of a large table's runs is left to shuffle when the reference's are at hand
+    return found.join(F.broadcast(wanted) if small else wanted, "run").groupBy(key, ref_key).agg(F.count("*").alias("hits"))
