@@ -1,34 +1,9 @@
 """N-gram Jaccard join of whole texts by a blocked sparse matrix product.
 
-Rows of the matrix are distinct sets of word shingles, columns are shingles. The columns are parted
-into blocks by hash, more blocks than a linked pair of a size class can differ in; so the rows of a
-linked pair agree in some blocks, and each block a row has anything in gives it a mark. Of the rows
-that have a mark in common one stands for the mark, the one with the smallest number, and all rows that
-share marks with it make a row block: rows that agree in a mark meet in the block of its
-representative, and nothing is closed transitively. Large row blocks are tiled by size and hash. The
-incidence matrices of two tiles are multiplied block of columns by block of columns, overlap counts
-accumulate, and pairs below the bounds that the two sizes set are discarded: rows that can't reach
-their own bound with the columns that others have go before the product, pairs after it. A pair that
-meets in several row blocks counts in the smallest one of both.
-
-Two sets link when 100 * |A and B| >= percent * |A or B|; a component is what links connect. A `Rule`
-holds the percentage and the words of a shingle; by itself it is 3 words and 90.
-
-Exactness. Shingles are 64-bit hashes. A linked pair agrees in SPARE blocks at least; it would be
-missed only if all shingles it shares lay outside these, which for the smallest sets that can link
-without being equal (9 shingles) has a chance below 1e-6, and far less for larger ones. Sets of more
-than MARKS blocks mark only the first MARKS of them: as the differing shingles of a pair fall into
-blocks at random, a pair just at the bound agrees in 0.36 of these on average, 29 of 80. Sets of
-COUNTED shingles and more leave out the row blocks that their fewest marks lead to, up to
-`rule.left_out` marks of a class; so pairs must agree in twice as many marks and one, 5, which fails
-with a chance below 1e-8. Equal sets are linked by a hash of the set and its size. Sets below
-`blocked` shingles are found by their first shingles in the order of hashes, one of which a linked
-pair always has in common.
-
-Scale. Only marks are shuffled, 160 for a text at most, never shingles; texts that no row block
-wants stay where they are. Marks that many rows have are found in a sample of the rows, MOST_HOT at
-most, and represented by the smallest sampled row; this is broadcast, so that no task gets all rows
-of a mark.
+Rows of the matrix are distinct sets of word shingles, columns are shingles; `operators.set_join` says
+how row blocks are found and tiles multiplied, and how certain it is that no link is lost. Two sets
+link when 100 * |A and B| >= percent * |A or B|; a component is what links connect. By themselves
+shingles have 3 words and the percentage is 90.
 
 Null and empty texts: 0 shingles, a component of their own, no links. Texts with fewer words than a
 shingle are one shingle. Repeated rows and equal sets are links of each other. Rows with a null key
@@ -38,68 +13,21 @@ of the table are left out.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessella.llm.common import cut, stored, text_bytes
-from tessella.operators.components import components
+from tessella.llm.common import text_bytes
+from tessella.operators import set_join
+from tessella.operators.set_join import RULE, Maker, Rule, mixed
 
 #: Shingles are this many words; texts with fewer words are one shingle.
 SHINGLE = 3
-#: Two sets link from this similarity on, in percent.
-PERCENT = 90
-#: Column blocks beyond those that a linked pair can differ in.
-SPARE = 6
-#: Column blocks that give marks, of as many as there are.
-MARKS = 80
-#: Rows of one tile, as long as they have THOUSAND shingles at most; longer rows count as several.
-TILE, THOUSAND = 1024, 1000
-#: Up to so many keys (8 bytes each) are broadcast to leave out texts that nothing is to be compared with.
-LISTED = 1_000_000
-#: Up to so many row blocks of several tiles are broadcast, a few hundred bytes each.
-LARGE = 50_000
 #: Words whose hashes a task keeps.
 WORDS = 200_000
-#: Columns of one block of the product.
-COLUMNS = 4096
-#: Sets from this size on leave out row blocks that few of their marks lead to.
-COUNTED = 121
-#: One row in SAMPLE tells which marks are hot: those that HOT sampled rows have, MOST_HOT at most.
-SAMPLE, HOT, MOST_HOT = 64, 16, 50_000
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-
-
-@dataclass(frozen=True)
-class Rule:
-    """When two texts link, and how pairs that may link are found."""
-
-    #: Words of a shingle.
-    shingle: int = SHINGLE
-    percent: int = PERCENT
-    #: Column blocks in which large sets must agree to be compared; odd.
-    agree: int = 5
-    #: Pairs whose smaller set is below this size are found by first shingles, not by column blocks.
-    blocked: int = 9
-
-    @property
-    def smallest(self) -> int:
-        """Sets below this size only link with equal ones."""
-        return -(-self.percent // (100 - self.percent))
-
-    @property
-    def left_out(self) -> int:
-        """Marks of a class that a large set may leave out."""
-        return (self.agree - 1) // 2
-
-
-RULE = Rule()
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
@@ -112,13 +40,6 @@ class WordHashes(dict):
         return got
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads all bits."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def shingles(raw: bytes, words: WordHashes, size: int = SHINGLE) -> np.ndarray:
     """The sorted set of a text's shingles, as 64-bit hashes."""
     said = raw.lower().split()  # bytes: A-Z only, and just the white space that parts words
@@ -134,298 +55,18 @@ def shingles(raw: bytes, words: WordHashes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(mixed(run))
 
 
-def set_number(sets: np.ndarray) -> int:
-    """A signed 64-bit number of a set."""
-    return int((mixed(np.array([np.bitwise_xor.reduce(mixed(sets + _C))]) + np.uint64(len(sets)))).view(np.int64)[0])
-
-
-def size_class(n: int, rule: Rule = RULE) -> tuple[int, int]:
-    """Class of a set size and the smallest size of that class; classes grow by half."""
-    c, low = 0, rule.blocked
-    while n >= (high := low * 3 // 2):
-        c, low = c + 1, high
-    return c, low
-
-
-def column_blocks(low: int, rule: Rule = RULE) -> int:
-    """Into how many column blocks the class that starts at `low` parts the shingles."""
-    most = low * 3 // 2 - 1
-    # the smaller set of a linked pair is in the class; the larger one has 100 / percent of its size at most
-    both = most + most * 100 // rule.percent
-    return both * (100 - rule.percent) // (100 + rule.percent) + SPARE
-
-
-def block_marks(sets: np.ndarray, rule: Rule = RULE) -> np.ndarray:
-    """A number for what the set has in each marked column block, for each class it is compared in.
-
-    The last bit is 1 for classes of large sets, of whose marks a pair has `agree` in common; the five
-    bits before it tell the class. Small sets have their first shingles.
-    """
-    n = len(sets)
-    out = [np.empty(0, np.uint64)]
-    tag = np.uint64(63)
-    if rule.smallest <= n and n * rule.percent < rule.blocked * 100 and rule.smallest < rule.blocked:
-        out.append(mixed(sets[: n + 1 - -(-rule.percent * n // 100)] + _A) & ~tag | np.uint64(62))
-    if n < rule.blocked:
-        return np.concatenate(out)
-    c, low = size_class(n, rule)
-    kinds = [(c, low)]
-    if c and (low - 1) * 100 >= rule.percent * n:
-        kinds.append(size_class(low - 1, rule))
-    spread = mixed(sets + _B)
-    for k, at in kinds:
-        block = (sets >> np.uint64(32)) * np.uint64(column_blocks(at, rule)) >> np.uint64(32)  # grows with the hash
-        block = block[: np.searchsorted(block, MARKS)]
-        if not len(block):
-            continue
-        first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        marks = mixed(np.add.reduceat(spread[: len(block)], first) + mixed(block[first] * _A + np.uint64(k)))
-        out.append(marks & ~tag | np.uint64(2 * (k % 31) + (rule.left_out > 0 and at >= COUNTED)))
-    return np.concatenate(out)
-
-
-def least_overlap(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The overlap from which sets of these sizes link."""
-    return -(-(percent * (a + b)) // (100 + percent))
-
-
-def reachable_rows(row: np.ndarray, column: np.ndarray, sizes: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The (row, column) entries that can matter: of columns that a partner has too, of rows that enough such columns are left of."""
-    least = -(-percent * sizes // 100)  # a linked set shares so much of its own size
-    while len(row):
-        width = int(column.max()) + 1
-        if side.any():
-            use = (np.bincount(column[side[row] == 1], minlength=width) > 0) & (np.bincount(column[side[row] == 2], minlength=width) > 0)
-        else:
-            use = np.bincount(column, minlength=width) > 1
-        held = use[column]
-        held &= (np.bincount(row[held], minlength=len(sizes)) >= least)[row]
-        if held.all():
-            break
-        row, column = row[held], column[held]
-    return row, column
-
-
-def linked_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """All i and j of linked rows, i < j; with sides 1 and 2, only pairs of rows on different sides.
-
-    The columns of the tiles' incidence matrices are ordered by the first row that has them and
-    parted into blocks; of each block only the rows that have anything in it are multiplied.
-    """
-    sizes = np.array([len(x) for x in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row, column = reachable_rows(np.repeat(np.arange(len(sets)), sizes), column, sizes, side, percent)
-    if not len(row):
-        return row, row
-    there, row = np.unique(row, return_inverse=True)
-    sizes, side = sizes[there], side[there]
-    first = np.full(int(column.max()) + 1, len(there))
-    np.minimum.at(first, column, row)
-    column = np.argsort(np.argsort(first, kind="stable"), kind="stable")[column]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    exact = np.float32 if sizes.max() < 1 << 24 else np.float64
-    overlap = np.zeros((len(there), len(there)), exact)
-    for block in np.split(np.arange(len(row)), np.flatnonzero(np.diff(column // COLUMNS)) + 1):
-        r, c = row[block], column[block]
-        _, c = np.unique(c, return_inverse=True)
-        active, at = np.unique(r, return_inverse=True)
-        tile = np.zeros((len(active), int(c.max()) + 1), exact)
-        tile[at, c] = 1
-        if side.any():
-            one, two = side[active] == 1, side[active] == 2
-            overlap[np.ix_(active[one], active[two])] += tile[one] @ tile[two].T
-        else:
-            overlap[np.ix_(active, active)] += tile @ tile.T
-    linked = overlap >= least_overlap(sizes[:, None], sizes[None, :], percent)
-    i, j = np.nonzero(linked & (overlap > 0))
-    keep = i != j if side.any() else i < j
-    i, j = there[i[keep]], there[j[keep]]
-    return np.minimum(i, j), np.maximum(i, j)
-
-
-def met_before(i: np.ndarray, j: np.ndarray, blocks: list[np.ndarray], this: int) -> np.ndarray:
-    """Whether rows i and j of `this` row block are in a smaller one together too."""
-    flat = np.concatenate(blocks)
-    row = np.repeat(np.arange(len(blocks)), [len(x) for x in blocks])
-    names, number, times = np.unique(flat, return_inverse=True, return_counts=True)
-    use = (names < this) & (times > 1)
-    width = int(use.sum())
-    if not width:
-        return np.zeros(len(i), bool)
-    held = use[number]
-    number, row = (np.cumsum(use) - 1)[number[held]], row[held]
-    bits = np.zeros((len(blocks), -(-width // 64)), np.uint64)
-    np.bitwise_or.at(bits, (row, number // 64), np.uint64(1) << (number % 64).astype(np.uint64))
-    out = np.zeros(len(i), bool)
-    for word in range(bits.shape[1]):
-        out |= (bits[i, word] & bits[j, word]) != 0
-    return out
-
-
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest number that each of n rows is connected with."""
-    root, before = np.arange(n), None
-    while before is None or (root != before).any():
-        before = root.copy()
-        least = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, least)
-        np.minimum.at(root, j, least)
-        root = root[root]
-    return root
-
-
-def marked(docs: DataFrame, key: str, text: str, rule: Rule = RULE) -> DataFrame:
-    """(id, n, node, marks) of each row: its key, set size, number of the set (null: no shingle), marks of its column blocks.
-
-    A task leaves out the marks of sets it has had before, so copies don't multiply.
-    """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = WordHashes(), set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sizes, nodes, marks = [], [], []
-                for raw in text_bytes(part.column(1)):
-                    sets = shingles(raw, words, rule.shingle)
-                    node = set_number(sets) if len(sets) else None
-                    new = node is not None and node not in seen
-                    if new:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(node)
-                    sizes.append(len(sets))
-                    nodes.append(node)
-                    marks.append(block_marks(sets, rule).view(np.int64) if new else [])
-                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "node", "marks"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(rows, f"id {kind}, n bigint, node bigint, marks array<bigint>")
-
-
-def agreeing(rows: DataFrame) -> DataFrame:
-    """(a, b, kind, times): node a has so many marks of a kind in common with b, the node that stands for these marks."""
-    sampled = rows.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SAMPLE)) == 0).select("node", F.explode("marks").alias("hot"))
-    hot = sampled.groupBy("hot").agg(F.count("*").alias("n"), F.min("node").alias("of")).where(F.col("n") >= HOT)
-    hot = cut(hot.orderBy(F.desc("n"), "hot").limit(MOST_HOT).select("hot", "of"))
-    marks = rows.where("node is not null").select("node", F.explode("marks").alias("mark")).join(F.broadcast(hot), F.col("mark") == F.col("hot"), "left")
-    # rows of a hot mark know its representative and needn't meet
-    salt = F.when(F.col("of").isNotNull(), F.col("node")).otherwise(F.lit(0).cast("long"))
-    least = F.min("node").over(Window.partitionBy("mark", "salt"))
-    edges = marks.withColumn("salt", salt).select(F.col("node").alias("a"), F.coalesce("of", least).alias("b"), "mark")
-    kind = F.col("mark").bitwiseAND(F.lit(63)).cast("int").alias("kind")
-    return edges.where("a <> b").groupBy("a", "b", kind).agg(F.count("*").alias("times"))
-
-
-def row_blocks(edges: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """(node, block): the row blocks of each node, less those that up to `left_out` marks of a large set's class lead to."""
-    if rule.left_out:
-        # as many rows as a node has marks of one class, MARKS at most
-        fewest = Window.partitionBy("a", "kind").orderBy("times", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        edges = edges.withColumn("upto", F.sum("times").over(fewest)).where((F.col("kind") % 2 == 0) | (F.col("upto") > rule.left_out))
-    held = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("block")), F.struct(F.col("b").alias("node"), F.col("b").alias("block"))))
-    return edges.select(held.alias("x")).select("x.*").distinct()
-
-
-def tiled(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """rows (block, node, n, ...) with `units`, the tile pairs that each takes part in and on which side.
-
-    A row block that fits one tile is one. Others are parted by size band, so that linked rows are
-    in one band or in neighbouring ones, and by hash inside a band.
-    """
-    width = float(np.log(100 / percent) * 1.0001)
-    banded = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
-    load = F.sum(F.greatest(F.lit(1.0), F.col("n") / THOUSAND)) / TILE
-    counts = banded.groupBy("block", "band").agg(load.alias("load"))
-    # one entry for each band: a few hundred for any sizes
-    tiles = F.map_from_entries(F.collect_list(F.struct("band", F.ceil("load").cast("int").alias("k"))))
-    large = counts.groupBy(F.col("block").alias("of")).agg(F.sum("load").alias("all"), tiles.alias("tiles")).where("all > 1")
-    large = cut(large)
-    held = banded.join(F.broadcast(large) if large.count() <= LARGE else large, F.col("block") == F.col("of"), "left")
-    b = F.col("band")
-
-    def many(band: Column) -> Column:
-        return F.coalesce(F.try_element_at("tiles", band), F.lit(0))
-
-    def each(band: Column, unit: Callable[[Column], Column]) -> Column:
-        k = many(band)
-        return F.transform(F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>")), unit)
-
-    def unit(b1: Column, t1: Column, b2: Column, t2: Column, side: Column) -> Column:
-        return F.struct("block", b1.alias("b1"), t1.alias("t1"), b2.alias("b2"), t2.alias("t2"), side.alias("side"))
+def shingle_sets(size: int) -> Maker:
+    def make():
+        words = WordHashes()
+        return lambda texts: [shingles(raw, words, size) for raw in text_bytes(texts)]
 
-    t = F.pmod(F.xxhash64("node"), F.greatest(many(b), F.lit(1)).cast("long")).cast("int")
-    one, two = F.lit(1), F.lit(2)
-    same = each(b, lambda o: unit(b, F.least(t, o), b, F.greatest(t, o), F.when(o == t, F.lit(0)).when(t < o, one).otherwise(two)))
-    above = each(b + 1, lambda o: unit(b, t, b + 1, o, one))
-    below = each(b - 1, lambda o: unit(b - 1, o, b, t, two))
-    alone = F.array(unit(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0), F.lit(0)))
-    return held.withColumn("units", F.when(F.col("of").isNull(), alone).otherwise(F.concat(same, above, below))).drop("band", "of", "all", "tiles")
+    return make
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = RULE, shingle: int = SHINGLE) -> DataFrame:
     """(key, n_shingles, component_id, n_links) of every row.
 
     n_links counts the other rows it links with, copies included.
     """
-    rows = stored(marked(docs, key, text, rule))
-    kind = docs.schema[key].dataType.simpleString()
-    blocks = row_blocks(agreeing(rows), rule).select(F.col("node").alias("of"), "block")
-    copies = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    in_blocks = tiled(copies.join(blocks, F.col("node") == F.col("of")).select("node", "first", "n", "copies", "block"), rule.percent)
-    # as many blocks as a node has marks, 160 at most
-    wanted = in_blocks.groupBy("node", "first", "copies").agg(F.sort_array(F.collect_list("block")).alias("blocks"), F.flatten(F.collect_list("units")).alias("units"))
-    wanted = stored(wanted)
-    texts = docs.select(F.col(key).alias("k2"), F.col(text).alias("t2"))
-    if wanted.count() <= LISTED:  # else the join below shuffles all texts
-        texts = texts.join(F.broadcast(wanted.select(F.col("first").alias("k3"))), F.col("k2").eqNullSafe(F.col("k3")), "left_semi")
-    texts = texts.join(wanted, F.col("k2").eqNullSafe(F.col("first"))).select("t2", "node", "copies", "blocks", "units")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingles(raw, words, rule.shingle) for raw in text_bytes(part.column(0))]
-                # a key with several texts brings them all; only the text of this set counts
-                keep = [bool(len(s)) and set_number(s) == node for s, node in zip(sets, part.column(1).to_pylist(), strict=True)]
-                arrays = [*part.columns[1:], pa.array([s.view(np.int64) if k else [] for s, k in zip(sets, keep, strict=True)], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names[1:], "set"]).filter(pa.array(keep, pa.bool_()))
-
-    schema = StructType([*texts.schema.fields[1:], StructField("set", ArrayType(LongType()))])
-    sets = texts.mapInArrow(sets_of, schema)
-
-    def lists(column: pa.ChunkedArray, at: np.ndarray) -> list[np.ndarray]:
-        flat = column.combine_chunks()
-        offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-        return [values[offsets[i] : offsets[i + 1]] for i in at]
-
-    def product(tables: pa.Table) -> pa.Table:
-        """Of one tile pair: each row's root among the rows it is connected with here, and its links here."""
-        nodes = tables.column("node").to_numpy()
-        _, at = np.unique(nodes, return_index=True)  # repeated rows of a key bring a set twice
-        nodes, copies = nodes[at], tables.column("copies").to_numpy()[at]
-        held = [x.view(np.uint64) for x in lists(tables.column("set"), at)]
-        i, j = linked_pairs(held, tables.column("side").to_numpy()[at], rule.percent)
-        new = ~met_before(i, j, lists(tables.column("blocks"), at), tables.column("block")[0].as_py())
-        i, j = i[new], j[new]
-        links = np.zeros(len(at), np.int64)
-        np.add.at(links, i, copies[j])
-        np.add.at(links, j, copies[i])
-        linked = np.flatnonzero(links)
-        return pa.table({"a": nodes[linked], "b": nodes[roots(len(at), i, j)[linked]], "links": links[linked]})
-
-    units = sets.withColumn("u", F.explode("units")).select("u.block", "u.b1", "u.t1", "u.b2", "u.t2", "u.side", "node", "copies", "blocks", "set")
-    found = cut(units.groupBy("block", "b1", "t1", "b2", "t2").applyInArrow(product, "a bigint, b bigint, links bigint"))
-    linked = components(found.select("a", "b")).select(F.col("node").alias("of"), "root")
-    counts = found.groupBy(F.col("a").alias("with")).agg(F.sum("links").alias("links"))
-    each = copies.join(linked, F.col("node") == F.col("of"), "left").join(counts, F.col("node") == F.col("with"), "left")
-    each = each.select("node", "first", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    least = each.groupBy(F.col("root").alias("r2")).agg(F.min("first").alias("component_id"))
-    # dealt anew, so that the join can split the rows of a large component
-    classes = each.join(least.repartition(F.xxhash64("r2")), F.col("root") == F.col("r2")).select(F.col("node").alias("of"), "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    full = rows.where("node is not null").join(classes, F.col("node") == F.col("of")).select("id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = rows.where("node is null").select("id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").cast(kind).alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.unionAll(alone).select(F.col("id").alias(key), "n_shingles", "component_id", "n_links")
+    found = set_join.classes(docs, key, text, shingle_sets(shingle), rule)
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from tessella.llm import chat, language, licenses, line_crf, mixing, ngram_join, ogg, packing, quality_model, shards
 from tessella.llm.common import stored
+from tessella.operators import set_join
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, size int, kept string"
@@ -269,7 +270,7 @@ def test_ngram_join_is_exact(docs, rows, nothing):
 
 
 def test_ngram_join_tiles_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE", 7)
+    monkeypatch.setattr(set_join, "TILE", 7)
     rng = random.Random(11)
     texts = []
     for size in (14, 30, 90):
@@ -292,7 +293,7 @@ def test_linked_pairs_agree_in_column_blocks():
         b = np.unique(np.concatenate((a[: len(a) - len(a) // 20], rng.integers(0, 2**64, len(a) // 22, dtype=np.uint64))))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 90 * (len(a) + len(b) - both):
-            assert set(ngram_join.block_marks(a).tolist()) & set(ngram_join.block_marks(b).tolist())
+            assert set(set_join.block_marks(a).tolist()) & set(set_join.block_marks(b).tolist())
 
 
 def near_texts(seed, sizes):
@@ -322,11 +323,11 @@ def brute_links(texts, size, percent):
 
 @pytest.mark.parametrize("hot", [16, 1])
 def test_pipeline_joins_five_words_from_eight_tenths(spark, monkeypatch, hot):
-    monkeypatch.setattr(ngram_join, "SAMPLE", 64 if hot > 1 else 2)
-    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(set_join, "SAMPLE", 64 if hot > 1 else 2)
+    monkeypatch.setattr(set_join, "HOT", hot)
     texts = near_texts(13, (8, 9, 12, 20, 28, 33, 60, 130, 190, 300, 700))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_classes(df, rule=corpus_pipeline.NEAR).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_classes(df, rule=corpus_pipeline.NEAR, shingle=corpus_pipeline.NEAR_WORDS).collect()}
     want = brute_links(texts, 5, 80)
     assert got == want
     assert want != brute_links(texts, 5, 90)
@@ -342,7 +343,7 @@ def test_linked_pairs_agree_in_as_many_marks_as_the_rule_asks():
         b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 2**64, int(rng.integers(0, n // 9 + 1)), dtype=np.uint64))))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 80 * (len(a) + len(b) - both):
-            common = set(ngram_join.block_marks(a, rule).tolist()) & set(ngram_join.block_marks(b, rule).tolist())
+            common = set(set_join.block_marks(a, rule).tolist()) & set(set_join.block_marks(b, rule).tolist())
             assert any(x % 2 == 0 for x in common) or len(common) >= rule.agree
 
 
