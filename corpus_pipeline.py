@@ -15,7 +15,7 @@ from tessella.llm import line_crf, mixing, ngram_join, packing, quality_model
 from tessella.llm.common import free, reachable, stored, table
 
 #: Near-duplicates of the join stage: sets of five words that are alike by 0.8.
-NEAR = ngram_join.Rule(shingle=5, percent=80, blocked=24)
+NEAR, NEAR_WORDS = ngram_join.Rule(percent=80, blocked=24), 5
 #: Up to so many ids (8 bytes each) are broadcast.
 LISTED = 1_000_000
 
@@ -36,7 +36,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group stays: the one with the smallest id. Of rows with equal id and text, one stays."""
     reachable(spark)
     of = free(docs, "_kept")
-    classes = ngram_join.jaccard_classes(docs, rule=NEAR).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = ngram_join.jaccard_classes(docs, rule=NEAR, shingle=NEAR_WORDS).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stored(classes.groupBy(F.col("doc_id").alias(of)).agg(F.count("*").alias("n")))
 
     def rows_of(ids: DataFrame) -> DataFrame:
