@@ -223,7 +223,7 @@ _KEY = ["k1", "k2", "k3", "k4"]
   SELECT seed, fold, round(sum(CASE WHEN upto <= 0.2 * te THEN y ELSE 0 END) / max(tp), 6) AS recall_at_budget FROM o GROUP BY seed, fold""")
 def effort_largest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = predictions(spark, sf_dir).where("part = 'test'").withColumn("p", F.col("prob"))
-    out = effort.rank_metrics(rows, ["seed", "fold"], _KEY, order=[-F.greatest("effort", F.lit(1.0))])
+    out = effort.rank_metrics(rows, ["seed", "fold"], _KEY, order=-F.greatest("effort", F.lit(1.0)))
     return out.select("seed", "fold", F.round("recall_at_budget", 6).alias("recall_at_budget"))
 
 
@@ -387,8 +387,7 @@ def survey_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = reviews(spark, sf_dir).where("severity is not null").groupBy("reviewer").agg(F.round(F.avg((F.col("severity") > 0).cast("double")), 9).alias("rate"))
     both = answers.join(rates, "reviewer").withColumn("one", F.lit(1))
     out = statistics.spearman(both, ["one"], "years", "rate")
-    rho = next(c for c in out.columns if c not in ("one", "n"))
-    return out.join(both.groupBy("one").agg(F.count("*").alias("reviewers")), "one").select("reviewers", F.round(rho, 6).alias("rho"))
+    return out.select(F.col("n").alias("reviewers"), F.round("rho", 6).alias("rho"))
 
 
 @query("""WITH m AS (SELECT p_partkey, p_size AS cc, p_retailprice AS loc FROM part), c AS (SELECT p_partkey, CASE WHEN cc BETWEEN 10 AND 20 THEN 1 ELSE 0 END AS by_rule, CASE WHEN cc > 10 AND cc < 20 THEN 1 ELSE 0 END AS stored FROM m)

@@ -41,7 +41,7 @@ def effort_recall_popt_ifa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_rank_sql("e ASC"))
 def effort_smallest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rank(effort.rank_metrics(_rows(spark, sf_dir), ["seed", "fold"], KEY, order=[F.col("effort")]))
+    return _rank(effort.rank_metrics(_rows(spark, sf_dir), ["seed", "fold"], KEY, order=F.col("effort")))
 
 
 @query(_P + """, o AS (SELECT seed, y, e, sum(e) OVER s / sum(e) OVER (PARTITION BY seed) AS x1, sum(y) OVER s AS p1, sum(e) OVER (PARTITION BY seed) AS te, sum(y) OVER (PARTITION BY seed) AS tp

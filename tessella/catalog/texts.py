@@ -21,7 +21,7 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.exact_groups(snippets(spark, sf_dir), "json_index", "code")
 
 
-_SETS = _S.replace("WITH ", "WITH RECURSIVE ", 1) + r""", t AS (SELECT json_index AS id, list_sort(list_distinct(regexp_extract_all(coalesce(code, ''), '[a-zA-Z_][\p{L}\p{N}_]*|[0-9]+'))) AS t FROM snippets),
+_SETS = _S.replace("WITH ", "WITH RECURSIVE ", 1) + r""", t AS (SELECT json_index AS id, list_sort(list_distinct(regexp_extract_all(coalesce(code, ''), '[a-zA-Z_][\p{L}\p{N}_]*|\p{Nd}+'))) AS t FROM snippets),
   u AS (SELECT t, min(id) AS id, len(t) AS n FROM t WHERE len(t) > 0 GROUP BY t), x AS (SELECT id, n, unnest(t) AS w FROM u),
   o AS (SELECT a.id AS a, b.id AS b, count(*) AS "both", max(a.n) AS na, max(b.n) AS nb FROM x a JOIN x b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id),
   p AS (SELECT a, b, "both", na + nb - "both" AS either FROM o WHERE 100 * "both" >= 90 * (na + nb - "both"))"""

@@ -12,50 +12,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import mcc, ratio
+from tessella.operators.ordered import running
 
 
 def effort(loc: Column, overhead: float = 0.0) -> Column:
     return F.greatest(loc.cast("double"), F.lit(1.0)) + overhead
 
 
-def _ordered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumns({f"{name}_rank": F.row_number().over(w), f"{name}_x": F.sum("effort").over(run), f"{name}_p": F.sum("y").over(run)})
+def _said(rows: DataFrame, by: Sequence[str], key: Sequence[str], order: Column) -> DataFrame:
+    """Rows with rank, effort and positives up to them in the order of a number, then of the key, and the cell's totals."""
+    sums = {"rank": F.lit(1), "x": F.col("effort"), "p_up": F.col("y")}
+    return running(rows, by, order, sums, [F.col(k) for k in key]).withColumnsRenamed({"all_rank": "n", "all_x": "all_effort", "all_p_up": "all_pos"})
 
 
-def _area(name: str) -> Column:
-    """Trapezoids between a row and the one before, as shares of all effort and all positives."""
-    x, p = F.col(f"{name}_x"), F.col(f"{name}_p")
-    return F.sum(F.col("effort") * (2 * p - F.col("y")) / 2) / (F.max("all_effort") * F.max("all_pos"))
+def _extremes(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, b, w): areas of the best and the worst order, all effort and positives as 1.
 
-
-def rank_metrics(rows: DataFrame, by: Sequence[str], key: Sequence[str], budget: float = 0.2, top: float = 0.1, order: Sequence[Column] | None = None) -> DataFrame:
-    """recall_at_budget, pci_at_budget, popt, ifa, precision_at_top of rows (y, p, effort) with both classes."""
-    whole = Window.partitionBy(*by)
-    held = rows.withColumns({"all_effort": F.sum("effort").over(whole), "all_pos": F.sum("y").over(whole), "n": F.count("*").over(whole)}).where("all_pos > 0 and all_pos < n")
-    keys = [F.col(k) for k in key]
-    held = _ordered(held, by, [*(order or [F.desc("p")]), *keys], "said")
-    density = F.col("y") / F.col("effort")
-    held = _ordered(held, by, [density.desc(), F.col("effort"), *keys], "best")
-    held = _ordered(held, by, [density, F.desc("effort"), *keys], "worst")
-    inside = F.col("said_x") / F.col("all_effort") <= budget + 1e-12
-    above = F.col("said_rank") <= F.ceil(top * F.col("n"))
+    Rows without a positive add nothing but their effort, before or after all others; of equal efforts
+    n positives after k others add n * k + n * n / 2 efforts. So both follow from counts of efforts.
+    """
+    counts = rows.groupBy(*by, "effort").agg(F.sum("y").alias("k"), F.count("*").alias("n"))
+    held = running(counts, by, F.col("effort"), {"upto": F.col("k"), "e": F.col("effort") * F.col("n"), "z": F.col("effort") * (F.col("n") - F.col("k"))})
+    k, e, total = F.col("k"), F.col("effort"), F.col("all_upto")
+    up = lambda first: F.sum(e * (k * first + k * k / 2))
+    whole = F.max("all_e") * F.max(total)
+    return held.groupBy(*by).agg(((up(F.col("upto") - k) + F.max("all_z") * F.max(total)) / whole).alias("b"), (up(total - F.col("upto")) / whole).alias("w"))
+
+
+def rank_metrics(rows: DataFrame, by: Sequence[str], key: Sequence[str], budget: float = 0.2, top: float = 0.1, order: Column | None = None) -> DataFrame:
+    """recall_at_budget, pci_at_budget, popt, ifa, precision_at_top of rows (y, p, effort) with both classes, inspected in ascending `order` (by default the largest p first)."""
+    held = _said(rows, by, key, -F.col("p") if order is None else order).where("all_pos > 0 and all_pos < n")
+    inside = F.col("x") / F.col("all_effort") <= budget + 1e-12
+    above = F.col("rank") <= F.ceil(top * F.col("n"))
+    area = F.sum(F.col("effort") * (2 * F.col("p_up") - F.col("y")) / 2) / (F.max("all_effort") * F.max("all_pos"))
     out = held.groupBy(*by).agg(
-        ratio(F.sum(F.when(inside, F.col("y")).otherwise(0)), F.max("all_pos")).alias("recall_at_budget"), F.avg(inside.cast("double")).alias("pci_at_budget"),
-        _area("said").alias("a"), _area("best").alias("b"), _area("worst").alias("w"),
-        (F.min(F.when(F.col("y") == 1, F.col("said_rank"))) - 1).cast("long").alias("ifa"), F.avg(F.when(above, F.col("y"))).alias("precision_at_top"),
+        ratio(F.sum(F.when(inside, F.col("y")).otherwise(0)), F.max("all_pos")).alias("recall_at_budget"), F.avg(inside.cast("double")).alias("pci_at_budget"), area.alias("a"),
+        (F.min(F.when(F.col("y") == 1, F.col("rank"))) - 1).cast("long").alias("ifa"), F.avg(F.when(above, F.col("y"))).alias("precision_at_top"),
     )
+    out = out.join(_extremes(rows, by), [*by])
     return out.select(*by, "recall_at_budget", "pci_at_budget", ratio(F.col("a") - F.col("w"), F.col("b") - F.col("w"), None).alias("popt"), "ifa", "precision_at_top")
 
 
 def alberg(rows: DataFrame, by: Sequence[str], key: Sequence[str], points: int = 11) -> DataFrame:
     """Share of positives found at even shares of effort, interpolated between inspected rows."""
-    whole = Window.partitionBy(*by)
-    held = rows.withColumns({"all_effort": F.sum("effort").over(whole), "all_pos": F.sum("y").over(whole)}).where("all_pos > 0")
-    held = _ordered(held, by, [F.desc("p"), *[F.col(k) for k in key]], "said")
-    x1, p1 = F.col("said_x") / F.col("all_effort"), F.col("said_p") / F.col("all_pos")
-    held = held.withColumns({"x1": x1, "p1": p1, "x0": (F.col("said_x") - F.col("effort")) / F.col("all_effort"), "p0": (F.col("said_p") - F.col("y")) / F.col("all_pos")})
+    held = _said(rows, by, key, -F.col("p")).where("all_pos > 0")
+    x1, p1 = F.col("x") / F.col("all_effort"), F.col("p_up") / F.col("all_pos")
+    held = held.withColumns({"x1": x1, "p1": p1, "x0": (F.col("x") - F.col("effort")) / F.col("all_effort"), "p0": (F.col("p_up") - F.col("y")) / F.col("all_pos")})
     # grid points in (x0, x1]: each belongs to one row, the first point to none
     n = points - 1
     first, last = F.floor(F.col("x0") * n + 1e-9) + 1, F.floor(F.col("x1") * n + 1e-9)

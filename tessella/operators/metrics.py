@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import f1, mcc, ratio
+from tessella.operators.ordered import running
 
 COUNTS = ("tp", "fp", "fn", "tn")
 
@@ -40,9 +41,7 @@ def score_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def score_steps(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Score counts with what lies above each score (tp, fp, itself included) and the totals of the cell."""
-    down = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    return score_counts(rows, by).withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole)})
+    return running(score_counts(rows, by), by, -F.col("p"), {"tp": F.col("pos"), "fp": F.col("neg")}).withColumnsRenamed({"all_tp": "all_pos", "all_fp": "all_neg"})
 
 
 def roc_auc(rows: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from tessella.operators import set_join
 from tessella.plans.lineage import stored
 
 #: A word of code: an identifier or a number; letters of any script go on an identifier.
-WORD = r"[a-zA-Z_][\p{L}\p{N}_]*|[0-9]+"
+WORD = r"[a-zA-Z_][\p{L}\p{N}_]*|\p{Nd}+"
 #: Up to so many runs of the reference (16 bytes each) are broadcast.
 LISTED = 2_000_000
 

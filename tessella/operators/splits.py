@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.functions.scalar import truth
+from tessella.operators.ordered import dealt
 from tessella.plans.lineage import cut
 
 
@@ -20,16 +21,14 @@ def hashed(seed: int, key: Column | str) -> Column:
 
 def stratified_folds(rows: DataFrame, key: str, strata: Sequence[str], k: int, seed: int = 0) -> DataFrame:
     """`fold` from 0: rows of a stratum are dealt in turn."""
-    order = Window.partitionBy(*strata).orderBy(hashed(seed, key), key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)).cast("long"))
+    placed = dealt(rows, strata, hashed(seed, key), key, "_at")
+    return placed.withColumn("fold", F.pmod(F.col("_at") - 1, F.lit(k)).cast("long")).drop("_at", "all__at")
 
 
 def group_folds(rows: DataFrame, group: str, k: int, seed: int = 0) -> DataFrame:
     """`fold` by group: no group is in two folds."""
-    at = F.pmod(F.dense_rank().over(Window.orderBy(hashed(seed, group), group)) - 1, F.lit(k)).cast("long")
-    # as many rows as there are groups
-    dealt = rows.select(group).distinct().withColumn("fold", at)
-    return rows.join(dealt, group)
+    placed = dealt(rows.select(group).distinct(), [], hashed(seed, group), group, "_at")
+    return rows.join(placed.select(group, F.pmod(F.col("_at") - 1, F.lit(k)).cast("long").alias("fold")), group)
 
 
 def leave_one_group_out(rows: DataFrame, group: str) -> DataFrame:
@@ -40,16 +39,15 @@ def leave_one_group_out(rows: DataFrame, group: str) -> DataFrame:
 
 def nested_subset(rows: DataFrame, key: str, strata: Sequence[str], fraction: float, seed: int = 0) -> DataFrame:
     """The first ceil(fraction * n) rows of each stratum: smaller fractions are subsets of larger ones."""
-    w = Window.partitionBy(*strata)
-    rank, n = F.row_number().over(w.orderBy(hashed(seed, key), key)), F.count("*").over(w)
-    return rows.withColumns({"_r": rank, "_n": n}).where(F.col("_r") <= F.ceil(F.lit(fraction) * F.col("_n"))).drop("_r", "_n")
+    placed = dealt(rows, strata, hashed(seed, key), key, "_r")
+    return placed.where(F.col("_r") <= F.ceil(F.lit(fraction) * F.col("all__r"))).drop("_r", "all__r")
 
 
 def capped(rows: DataFrame, key: str, label: str, caps: dict[int, int], seed: int = 0) -> DataFrame:
     """At most so many rows of each label value; values without a cap stay whole."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(hashed(seed, key), key))
     limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col(label))
-    return rows.withColumn("_r", rank).where(limit.isNull() | (F.col("_r") <= limit)).drop("_r")
+    placed = dealt(rows, [label], hashed(seed, key), key, "_r")
+    return placed.where(limit.isNull() | (F.col("_r") <= limit)).drop("_r", "all__r")
 
 
 def round_robin(rows: DataFrame, position: str, shards: int, index: int) -> DataFrame:
@@ -80,9 +78,9 @@ def stratum_sample(rows: DataFrame, key: str, size: str, strata: int, each: int,
 
 def with_negatives(rows: DataFrame, key: str, y: str, ratio: float, seed: int = 0) -> DataFrame:
     """All positives and, by hash, so many times as many negatives."""
-    rank = F.row_number().over(Window.partitionBy(y).orderBy(hashed(seed, key), key))
     positives = F.broadcast(rows.agg(F.coalesce(F.sum(y), F.lit(0)).alias("_p")))  # one row
-    return rows.withColumn("_r", rank).join(positives).where((F.col(y) == 1) | (F.col("_r") <= F.floor(F.lit(ratio) * F.col("_p")))).drop("_r", "_p")
+    placed = dealt(rows, [y], hashed(seed, key), key, "_r").join(positives)
+    return placed.where((F.col(y) == 1) | (F.col("_r") <= F.floor(F.lit(ratio) * F.col("_p")))).drop("_r", "all__r", "_p")
 
 
 def round_robin_all(rows: DataFrame, key: str, shards: int) -> DataFrame:
@@ -151,15 +149,13 @@ def greedy_labels(rows: DataFrame, key: str, labels: Sequence[str], parts: dict[
             room[a] -= n
             need[a] = [x - n * (p[i] == "1") for i, x in enumerate(need[a])]
     plan = rows.sparkSession.createDataFrame(cuts or [("", 0, 0, "")], "_p string, _from long, _to long, part string")  # parts x patterns
-    place = F.row_number().over(Window.partitionBy("_pattern").orderBy(hashed(seed, key), key)) - 1
-    placed = held.withColumn("_at", place).join(F.broadcast(plan), (F.col("_pattern") == F.col("_p")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
+    placed = dealt(held, ["_pattern"], hashed(seed, key), key, "_at").withColumn("_at", F.col("_at") - 1).join(F.broadcast(plan), (F.col("_pattern") == F.col("_p")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
     return placed.select(key, "part")
 
 
 def with_validation(folds: DataFrame, key: str, strata: Sequence[str], k: int, tenth: int, seed: int = 1) -> DataFrame:
     """(fold, key, part): each row's part in every fold; of the next fold one row in `tenth` of each stratum validates."""
-    place = F.row_number().over(Window.partitionBy("fold", *strata).orderBy(hashed(seed, key), key)) - 1
-    each = folds.withColumn("_q", place).withColumn("_test", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
+    each = dealt(folds, ["fold", *strata], hashed(seed, key), key, "_q").withColumn("_q", F.col("_q") - 1).withColumn("_test", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
     inner = (F.col("fold") == (F.col("_test") + 1) % k) & (F.col("_q") % tenth == F.col("_test") % tenth)
     part = F.when(F.col("fold") == F.col("_test"), "test").when(inner, "val").otherwise("train")
     return each.select(F.col("_test").alias("fold"), key, part.alias("part"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import ratio
+from tessella.operators.ordered import ranked, running
 
 
 def paired(cells: DataFrame, a: str, b: str, key: Sequence[str], metric: str) -> DataFrame:
@@ -31,15 +32,9 @@ def holm(tests: DataFrame, p: str, key: Sequence[str]) -> DataFrame:
     return scaled.withColumn("p_holm", F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_s")
 
 
-def average_rank(value: str, by: Sequence[str]) -> Column:
-    """Rank from 1 with ties sharing their mean rank."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def spearman(rows: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
-    ranked = rows.withColumns({"_a": average_rank(a, by), "_b": average_rank(b, by)})
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho"))
+    both = ranked(ranked(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()), by, a, "_a"), by, b, "_b")
+    return both.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho"))
 
 
 def smd(rows: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -72,10 +67,12 @@ def quantile_ranks(rows: DataFrame, by: Sequence[str], value: str, quantiles: Se
     """Quantiles by interpolation, or of the value at the rank that half-even or floor rounding gives."""
     if rule == "linear":
         return rows.groupBy(*by).agg(*[F.percentile(value, F.lit(q)).alias(f"q{round(100 * q)}") for q in quantiles])
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumns({"_r": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
-    at = (lambda q: F.bround(q * (F.col("_n") - 1))) if rule == "half_even" else (lambda q: F.floor(q * (F.col("_n") - 1)))
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_r") == at(q), F.col(value))).alias(f"q{round(100 * q)}") for q in quantiles])
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_k"))
+    places = running(counts, by, F.col(value), {"_upto": F.col("_k")})
+    n = F.col("all__upto")
+    at = (lambda q: F.bround(q * (n - 1))) if rule == "half_even" else (lambda q: F.floor(q * (n - 1)))
+    there = lambda q: (F.col("_upto") - F.col("_k") <= at(q)) & (at(q) < F.col("_upto"))
+    return places.groupBy(*by).agg(*[F.max(F.when(there(q), F.col(value))).alias(f"q{round(100 * q)}") for q in quantiles])
 
 
 def best_epoch(history: DataFrame, by: Sequence[str], epoch: str, metric: str, patience: int) -> DataFrame:
@@ -92,6 +89,5 @@ def best_epoch(history: DataFrame, by: Sequence[str], epoch: str, metric: str, p
 def signed_ranks(rows: DataFrame, d: str, zero: float = 1e-12) -> DataFrame:
     """(n, w): differences that aren't 0, and the smaller sum of the ranks of their sizes by sign; sizes equal to 12 digits are tied."""
     held = rows.where(F.abs(d) > zero).select(F.col(d).alias("_d"), F.round(F.abs(d), 12).alias("_a")).withColumn("_one", F.lit(1))
-    ranked = held.withColumn("_r", average_rank("_a", ["_one"]))
-    out = ranked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0)).alias("plus"))
+    out = ranked(held, ["_one"], "_a", "_r").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0)).alias("plus"))
     return out.select("n", F.least("plus", F.col("n") * (F.col("n") + 1) / 2 - F.col("plus")).alias("w"))

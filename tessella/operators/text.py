@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions.scalar import padded
 
-#: What counts as one token of code. Letters of any script continue an identifier.
-TOKEN = r"""[a-zA-Z_][\p{L}\p{N}_]*|[{}()\[\];,.<>=!&|+\-*/:%^~?@#]|"[^"]*"|'[^']*'|[0-9]+"""
+#: What counts as one token of code. Letters of any script continue an identifier, and numbers have the digits of any script.
+TOKEN = r"""[a-zA-Z_][\p{L}\p{N}_]*|[{}()\[\];,.<>=!&|+\-*/:%^~?@#]|"[^"]*"|'[^']*'|\p{Nd}+"""
 #: The first two ids of a vocabulary.
 PAD, UNKNOWN = 0, 1
 #: Short lists that a vocabulary is hashed into.

@@ -71,3 +71,19 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y0"), F.col("toxic").alias("y1"))
     docs = read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
     return docs.select(F.col("doc_id").alias("json_index"), F.col("text").alias("code"), F.col("source").alias("repo"), F.when(F.col("lang") == "en", "method").otherwise("class").alias("level"), "y0", "y1")
+
+
+#: Functions for SQL texts, by the expressions that the operators use.
+FUNCTIONS = {
+    "f1_score": "(tp BIGINT, fp BIGINT, fn BIGINT) RETURNS DOUBLE RETURN CASE WHEN 2 * tp + fp + fn <> 0 THEN 2D * tp / (2 * tp + fp + fn) ELSE 0D END",
+    "mcc_score": "(tp BIGINT, fp BIGINT, fn BIGINT, tn BIGINT) RETURNS DOUBLE RETURN CASE WHEN sqrt(double(tp + fp)) * sqrt(double(tp + fn)) * sqrt(double(tn + fp)) * sqrt(double(tn + fn)) <> 0 THEN (double(tp) * tn - double(fp) * fn) / (sqrt(double(tp + fp)) * sqrt(double(tp + fn)) * sqrt(double(tn + fp)) * sqrt(double(tn + fn))) ELSE 0D END",
+    "repo_slug": "(url STRING) RETURNS STRING RETURN regexp_replace(regexp_replace(regexp_replace(trim(url), '^(?:[a-zA-Z+]+://)?(?:[^/@]*@)?', ''), '(?:\\\\.git)?/*$', ''), '^([^/:]+):', '$1/')",
+}
+
+
+def register(spark: SparkSession, sf_dir: str) -> None:
+    """The views and functions under their names, for SQL texts of this session: reviews, predictions, scores, snippets."""
+    for f in (reviews, predictions, scores, snippets):
+        f(spark, sf_dir).createOrReplaceTempView(f.__name__)
+    for name, body in FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")

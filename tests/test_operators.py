@@ -3,12 +3,13 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import scalar, tails
-from tessella.operators import agreement, effort, graph, labels, metrics, models, neighbours, resampling, similarity, splits, statistics, text, thresholds, variants
+from tessella.operators import agreement, effort, graph, java, labels, metrics, models, neighbours, ranges, resampling, similarity, splits, statistics, text, thresholds, variants
 from tessella.operators.components import components
 
 REVIEW = "id long, sample long, smell long, reviewer long, ts timestamp_ntz, severity int"
@@ -288,3 +289,97 @@ def test_line_kinds(spark):
     df = spark.createDataFrame([(1, "\n".join(said))], "k long, t string")
     got = [r.kind for r in text.lines(df, "k", "t").select("line_no", text.line_kind(F.col("line"), F.col("line_no") == 0).alias("kind")).orderBy("line_no").collect()]
     assert got == ["signature", "braces only", "comment or annotation", "return", "condition, loop or try", "declaration", "declaration", "assignment", "call", "other", "other"]
+
+
+SOURCE = '''package a.b;
+import java.util.*;
+/** doc */
+public class Foo<T> extends Bar implements Baz {
+  private int size, total = f(1, 2);  // note
+  public static final Map<String, List<Integer>> M = new HashMap<>();
+  static { init(); }
+  public Foo(int a) { this.size = a; }
+  @Override public int getSize() { return size; }
+  void setSize(int s) { this.size = s; }
+  <R> R run(Map<String, R> m, final int... xs) throws IOException {
+    for (int i = 0; i < 3; i++) { if (i > 1 && x) other.call(i); else foo(); }
+    Runnable r = () -> { helper.go(); };
+    Comparator<T> c = new Comparator<T>() { public int compare(T a, T b) { return a.x - b.x; } };
+    switch (k) { case 1: return null; default: break; }
+    try (A q = b()) { z(); } catch (Exception e) { throw e; } finally { w(); }
+    do { t++; } while (t < 5);
+    int[] arr = {1, 2};
+    return size > 1 ? getSize() : this.total;
+  }
+  enum E { A, B(1) { void f() {} }; int y; }
+}
+'''
+
+
+def test_source_trees():
+    tree = java.parse(SOURCE)
+    kinds = Counter(n.kind for n in tree.nodes)
+    assert tree.errors == 0
+    assert tree.comments == 2
+    want = {"class": 1, "enum": 1, "field": 3, "initializer": 1, "constructor": 1, "constant": 2, "method": 5, "for": 1, "if": 1, "else": 1, "switch": 1, "case": 2, "try": 1, "catch": 1, "finally": 1, "do": 1, "lambda_block": 1, "class_body": 2, "local": 3, "return": 4, "throw": 1, "break": 1}
+    assert {k: kinds[k] for k in want} == want
+    assert [n.name for n in tree.nodes if n.kind == "method"] == ["getSize", "setSize", "run", "compare", "f"]
+    assert "".join(tree.text(n.first) for n in tree.nodes if n.kind == "token") == "".join(t.text for t in tree.tokens)
+    for i, n in enumerate(tree.nodes):
+        assert n.parent < i
+        if n.parent >= 0:
+            assert tree.nodes[n.parent].first <= n.first <= n.last <= tree.nodes[n.parent].last
+    facts = {m["name"]: m for m in java.method_facts(SOURCE)}
+    assert (facts["run"]["n_params"], facts["run"]["own"], facts["run"]["foreign"]) == (2, 3, 4)
+    assert java.class_structure(SOURCE)["n_getters"] == java.class_structure(SOURCE)["n_setters"] == 1
+    assert "void f" not in java.skeleton(SOURCE).split("\n")[-1]
+
+
+def test_odd_sources_have_trees():
+    rng = random.Random(7)
+    parts = ["class", "A", "{", "}", "(", ")", ";", "if", "else", "case", ":", "->", "=", "int", "x", ".", "new", "enum", "@", "switch", "<", ">", ",", "return", "for", "do", "while", '"s"', "// c\n", "["]
+    texts = ["", " ", "}", "class {", "int f() { return 1; }", "if (a) b(); else c();", "(" * 400, "{" * 400 + "x" + "}" * 400, "é ü"] + [" ".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(400)]
+    for text in texts:
+        tree = java.parse(text)
+        assert [n.first for n in tree.nodes if n.kind == "token"] == list(range(len(tree.tokens))), text
+        assert all(n.last >= n.first for n in tree.nodes)
+        java.sizes(text)
+        java.class_structure(text)
+        java.method_facts(text)
+        java.skeleton(text)
+
+
+def test_members_are_renamed_by_scope():
+    new = variants.variant("class A {\n  int size;\n  A(int size) { this.size = size; }\n  int get() { return size + other.length; }\n  int length;\n}", "rename_members")
+    assert new["status"] == "applied"
+    assert new["code"] == "class A {\n  int m0;\n  A(int size) { this.m0 = size; }\n  int get() { return m0 + other.length; }\n  int length;\n}"
+    copy = variants.variant("class A { int f(int a) { int b = a; g(b); return b; } }", "duplicate_body")
+    assert copy["code"] == "class A { int f(int a) { int b = a; g(b); if (false) { int copy_b = a; g(copy_b); return copy_b;\n}\nreturn b; } }"
+    assert variants.variant("interface A { int f(); }", "duplicate_body")["status"] == "no_change"
+
+
+def test_innermost_keeps_repeated_points(spark):
+    points = spark.createDataFrame([(1, 5), (1, 5), (1, 99), (None, 5)], "g int, x int")
+    spans = spark.createDataFrame([(1, 0, 10), (1, 4, 6), (1, 4, 6)], "g int, a int, b int")
+    got = Counter(tuple(r) for r in ranges.innermost(points, spans, "g", "x", "a", "b").collect())
+    assert got == Counter({(1, 5, 4, 6): 2, (1, 99, None, None): 1, (None, 5, None, None): 1})
+
+
+def test_greedy_label_split(spark):
+    rng = random.Random(3)
+    rows = [(i, int(rng.random() < 0.1), int(rng.random() < 0.5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, a int, b int")
+    parts = {"train": 0.7, "val": 0.1, "test": 0.2}
+    got = {r.id: r.part for r in splits.greedy_labels(df, "id", ["a", "b"], parts).collect()}
+    assert sorted(got) == list(range(500))
+    for name, share in parts.items():
+        held = [r for r in rows if got[r[0]] == name]
+        assert abs(len(held) - share * 500) <= 4
+        for k in (1, 2):
+            assert abs(sum(r[k] for r in held) - share * sum(r[k] for r in rows)) <= 2
+
+
+def test_draws_have_as_many_picks_as_units(spark):
+    units = spark.createDataFrame([("a", i) for i in range(7)] + [("b", i) for i in range(3)], "c string, u int")
+    got = resampling.drawn(units, ["c"], "u", 20).groupBy("c", "draw").agg(F.sum("times").alias("n")).collect()
+    assert Counter((r.c, r.n) for r in got) == Counter({("a", 7): 20, ("b", 3): 20})

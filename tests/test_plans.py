@@ -123,8 +123,9 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     batch.where("id = 1").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(source))
     schema = spark.read.parquet(str(source)).schema
     live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    stream.upsert(stream.unit_stream(live, "4000 days"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    got = stream.latest(spark.read.parquet(f"{tmp_path}/out"))
+    stream.upsert(stream.unit_stream(live, "4000 days"), f"{tmp_path}/out", f"{tmp_path}/check", compact_every=3).awaitTermination()
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["base=2", "batch=3"]
+    got = stream.state(spark, f"{tmp_path}/out")
     columns = ["sample", "smell", "votes", "c0", "c1", "c2", "c3", "rank"]
     want = aggregated(severity_counts(batch)).select(columns)
     assert sorted(tuple(r) for r in got.select(columns).collect()) == sorted(tuple(r) for r in want.collect())
