@@ -1,7 +1,7 @@
 """Sharding by sampled splitters, by DataFrame functions only.
 
 A size-weighted sample of keys gives quantile boundaries; they part the records into ranges of the
-key. Ranges that turn out overfull are subdivided by quantiles of their own rows, and a range that
+key. Ranges that turn out overfull are subdivided by quantiles of their own rows until none is, and a range that
 is one repeated key by the records' numbers. Ranges have exact sizes then, and running sums over
 ranges and inside each range place every record: shard i takes the records whose middle lies in
 the i-th part of all bytes. So shards differ by less than the size of two records.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import NO_ID, cut
 
 #: Rows that a range should have, and the bounds on the number of ranges.
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 20_000, 256, 4096
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 20_000, 256, 65_536
 #: Sampled keys for each range.
 SAMPLED = 16
 #: A range is overfull beyond so many times the mean rows or bytes.
@@ -63,9 +63,8 @@ def split_ranges(items: DataFrame, rows: int, total: int) -> tuple[DataFrame, Da
 
     held, stats = counted(splitters)
     crowded = lambda r: max(r.rows / max(1, rows / n), r.bytes / max(1, total / n))
-    over = {r.range: crowded(r) for r in stats if crowded(r) > OVERFULL and r.low < r.high}
-    if over:
-        finer = held.where(F.col("range").isin(list(over))).groupBy("range").agg(F.percentile_approx("key", [i / 16 for i in range(1, 17)], 10_000).alias("q"), F.min("key").alias("low"))
+    while over := [r.range for r in stats if crowded(r) > OVERFULL and r.low < r.high]:
+        finer = held.where(F.col("range").isin(over)).groupBy("range").agg(F.percentile_approx("key", [i / 16 for i in range(1, 17)], 10_000).alias("q"), F.min("key").alias("low"))
         # both sides of a frequent key become boundaries, so that it has a range of its own
         splitters = sorted({*splitters, *(x for r in finer.collect() for q in r.q for x in (q, q + 1) if x > r.low)})
         held, stats = counted(splitters)

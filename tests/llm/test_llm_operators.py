@@ -123,6 +123,17 @@ def test_chat_formats_branches(spark):
     assert {r.leaf: ([t.text for t in r.turns], r.loss) for r in got} == {4: (["ask", "poor", "thanks"], "poor"), 5: (["ask", "good", "more?"], "good")}
 
 
+def test_loss_spans_cross_chunks(spark, monkeypatch):
+    rng = random.Random(8)
+    said = [(c, t, rng.choice(["user", "assistant"]), "".join(rng.choice("aé😀\\<s>[INST]\n") for _ in range(rng.randrange(40)))) for c in range(12) for t in range(rng.randrange(1, 9))]
+    df = spark.createDataFrame(said, "conv_id long, turn int, role string, text string")
+    for chunk in (1, 3, 4096):
+        monkeypatch.setattr(chat, "CHUNK", chunk)
+        made = chat.format_trees(chat.threads(df))
+        got = {r.tree: r.loss for r in made.select("tree", chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+        assert got == {c: "".join(text for k, _, role, text in said if k == c and role == "assistant") for c in {x[0] for x in said}}
+
+
 def test_chat_of_nothing(spark):
     df = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
     assert chat.format_trees(chat.threads(df)).count() == 0
@@ -758,6 +769,16 @@ def test_mixing_odd_rows(docs, rows):
 # --- shards ---------------------------------------------------------------------------------
 
 
+def test_overfull_ranges_are_subdivided_until_none_is(spark):
+    # all keys but a few lie in a narrow band of the key's range, and one of them has a third of the rows
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 1000 == 1, F.col("id") * 10**12).otherwise(F.col("id") % 5000).alias("doc_id"), F.lit("ab").alias("text"))
+    items = shards.cut(df.select(F.col("doc_id").alias("key"), F.lit(3).cast("long").alias("size"), F.monotonically_increasing_id().alias("number")))
+    held, cells = shards.split_ranges(items, 60_000, 180_000)
+    mean = 60_000 / shards.LEAST_RANGES
+    assert max(r.rows for r in cells.collect()) <= 2.5 * mean
+    assert held.count() == 60_000
+
+
 @pytest.mark.parametrize("case", ["mixed", "one key", "empty"])
 def test_shards(spark, docs, rows, nothing, case):
     df = {"mixed": docs, "empty": nothing, "one key": spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(1234).alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 50).cast("int")).alias("text"))}[case]
