@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.catalog import query
+from tessella.catalog.draws import uniform_sql
 from tessella.functions import scalar, tails
-from tessella.operators import code, effort, filters, metrics, splits, statistics, summaries, thresholds
+from tessella.operators import code, effort, filters, joins, metrics, splits, statistics, summaries, thresholds
 from tessella.views import predictions, read, reviews, scores, snippets, with_views
 
 _P = with_views("predictions")
@@ -276,6 +277,15 @@ def round_robin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.round_robin_all(rows, "doc_id", 4).select("shard", "doc_id")
 
 
+@query("""WITH o AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY md5('0:' || source), source, doc_id) AS place, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+  s AS (SELECT lang, source, min(place) AS f, count(*) AS k FROM o GROUP BY lang, source),
+  a AS (SELECT o.doc_id, o.lang, (s.f + s.k - 1 + CAST(floor(""" + uniform_sql(0, "o.doc_id") + """ * (o.n - s.k)) AS BIGINT)) % o.n + 1 AS place FROM o JOIN s ON s.lang = o.lang AND s.source = o.source WHERE o.n > s.k)
+  SELECT a.doc_id, o.doc_id AS donor FROM a JOIN o ON o.lang = a.lang AND o.place = a.place""")
+def seeded_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document a drawn one of its language from another source."""
+    return joins.seeded_donors(read(spark, sf_dir, "documents"), "doc_id", ["lang"], "source")
+
+
 # --- source texts ---------------------------------------------------------------------------
 
 _JAVA = "'package a.b;' || chr(10) || 'import x.Y;' || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'public class ' || replace(n_name, ' ', '_') || ' {' || chr(10) || '  ' || replace(n_name, ' ', '_') || '(int x) { new ' || replace(n_name, ' ', '_') || '(1); }' || chr(10) || '}' ELSE 'int f() { return ' || n_nationkey || '; }' END"
@@ -406,3 +416,16 @@ def impossible_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = {"lost": F.col("severity").isNull() & (F.col("reviewer") % 3 == 0), "odd": F.coalesce((F.col("severity") == 0) & (F.col("reviewer") % 7 == 0), F.lit(False))}
     some = reduce(lambda a, b: a | b, rules.values())
     return reviews(spark, sf_dir).groupBy("smell").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in rules.items()], F.count_if(some).alias("affected"))
+
+
+@query("""WITH v AS (SELECT seed AS region, y = 1 AS y, prob2 >= 0.5 AS hard FROM (""" + _P + """ SELECT * FROM predictions WHERE part = 'test' AND fold = 1) t), c AS (SELECT region, count(*) FILTER (y AND hard) AS a, count(*) FILTER (y AND NOT hard) AS b, count(*) FILTER (NOT y AND hard) AS c, count(*) FILTER (NOT y AND NOT hard) AS d FROM v GROUP BY region),
+  p AS (SELECT c.region, a, x, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS l FROM c, range(100000) r(x) WHERE x BETWEEN greatest(0, a - d) AND least(a + b, a + c)),
+  e AS (SELECT region, exp(l) AS p FROM p WHERE x = a)
+  SELECT c.region, max(c.a) AS both_hold, round(max(c.a * c.d / nullif(c.b * c.c, 0)), 6) AS odds_ratio, round(least(1.0, sum(exp(p.l)) FILTER (exp(p.l) <= e.p * (1 + 1e-7))), 6) AS p FROM c JOIN p ON p.region = c.region JOIN e ON e.region = c.region GROUP BY c.region""")
+def region_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether positives are more often hard than others in each region: Fisher's exact test and the odds ratio."""
+    rows = predictions(spark, sf_dir).where("part = 'test' and fold = 1").select(F.col("seed").alias("region"), (F.col("y") == 1).alias("y"), (F.col("prob2") >= 0.5).alias("hard"))
+    y, hard = F.col("y"), F.col("hard")
+    c = rows.groupBy("region").agg(F.count_if(y & hard).alias("a"), F.count_if(y & ~hard).alias("b"), F.count_if(~y & hard).alias("c"), F.count_if(~y & ~hard).alias("d"))
+    p = F.udf(tails.fisher, "double")  # a row for each region
+    return c.select("region", F.col("a").alias("both_hold"), F.round(scalar.ratio(F.col("a") * F.col("d"), F.col("b") * F.col("c"), None), 6).alias("odds_ratio"), F.round(p("a", "b", "c", "d"), 6).alias("p"))

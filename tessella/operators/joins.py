@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ordered import running, same_cells
+from tessella.operators.resampling import uniform
+
 
 def unique(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """`rows`; a key that comes twice is an error when they are read."""
@@ -67,6 +70,22 @@ def donors(rows: DataFrame, key: str, kind: Sequence[str], owner: str, seed: int
     return rows.join(given.select(*kind, owner, "donor"), [*kind, owner]).select(key, "donor")
 
 
+def seeded_donors(rows: DataFrame, key: str, kind: Sequence[str], owner: str, seed: int = 0) -> DataFrame:
+    """(key, donor): for each row a row of the same kind with another owner, each of them equally likely, drawn by hash; rows without one are left out.
+
+    Rows of a kind stand in a ring by owner; a row's draw counts on from the end of its own owner's
+    stretch, so it never falls inside, and one join by place finds the donor.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(owner).cast("string")))
+    plain = rows.select(key, *kind, owner)
+    placed = running(plain, kind, digest, {"_at": F.lit(1)}, [F.col(owner), F.col(key)], F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")).withColumnRenamed("all__at", "_n")
+    stretch = placed.groupBy(*kind, owner).agg(F.min("_at").alias("_first"), F.count("*").alias("_own"))
+    held = same_cells(placed.drop("_at"), stretch, [*kind, owner]).where("_n > _own")
+    draw = F.floor(uniform(key, seed=seed) * (F.col("_n") - F.col("_own")))
+    asked = held.withColumn("_at", F.pmod(F.col("_first") + F.col("_own") - 1 + draw, F.col("_n")) + 1)
+    return same_cells(asked.select(key, *kind, "_at"), placed.select(F.col(key).alias("donor"), *kind, "_at"), [*kind, "_at"]).select(key, "donor")
+
+
 def method_aggregates(types: DataFrame, methods: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Largest, sum and mean of each column over a type's methods, and their number; zeros for a type without any."""
     aggs = [f(c).cast("double").alias(f"{c}_{name}") for c in columns for name, f in (("max", F.max), ("sum", F.sum), ("avg", F.avg))]
