@@ -44,14 +44,25 @@ def effort_smallest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rank(effort.rank_metrics(_rows(spark, sf_dir), ["seed", "fold"], KEY, order=F.col("effort")))
 
 
-@query(_P + """, o AS (SELECT seed, y, e, sum(e) OVER s / sum(e) OVER (PARTITION BY seed) AS x1, sum(y) OVER s AS p1, sum(e) OVER (PARTITION BY seed) AS te, sum(y) OVER (PARTITION BY seed) AS tp
+def _alberg_sql(n: int, digits: int = 6) -> str:
+    """Shares at n even parts of the effort."""
+    return _P + f""", o AS (SELECT seed, y, e, sum(e) OVER s / sum(e) OVER (PARTITION BY seed) AS x1, sum(y) OVER s AS p1, sum(e) OVER (PARTITION BY seed) AS te, sum(y) OVER (PARTITION BY seed) AS tp
     FROM t WINDOW s AS (PARTITION BY seed ORDER BY p DESC, k1, k2, k3, k4 ROWS UNBOUNDED PRECEDING)),
-  g AS (SELECT i FROM range(1, 11) r(i)), h AS (SELECT seed, i, min(x1) AS x1 FROM o JOIN g ON x1 >= (i - 1e-9) / 10 GROUP BY seed, i),
+  g AS (SELECT i FROM range(1, {n + 1}) r(i)), h AS (SELECT seed, i, min(x1) AS x1 FROM o JOIN g ON x1 >= (i - 1e-9) / {n} GROUP BY seed, i),
   k AS (SELECT o.seed, h.i, o.x1, o.p1 / o.tp AS q1, o.x1 - o.e / o.te AS x0, (o.p1 - o.y) / o.tp AS q0 FROM h JOIN o ON o.seed = h.seed AND o.x1 = h.x1)
-  SELECT seed, i / 10 AS grid, round(q0 + (q1 - q0) * least(1.0, (i / 10 - x0) / (x1 - x0)), 6) AS share FROM k
-  UNION ALL SELECT DISTINCT seed, 0.0, 0.0 FROM t""")
+  SELECT seed, i / {n} AS grid, round(q0 + (q1 - q0) * least(1.0, (i / {n} - x0) / (x1 - x0)), {digits}) AS share FROM k
+  UNION ALL SELECT DISTINCT seed, 0.0, 0.0 FROM t"""
+
+
+@query(_alberg_sql(10))
 def alberg_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return effort.alberg(_rows(spark, sf_dir), ["seed"], KEY).withColumn("share", F.round("share", 6))
+    return effort.alberg(_rows(spark, sf_dir), ["seed"], KEY, 11).withColumn("share", F.round("share", 6))
+
+
+@query(_alberg_sql(100, 4))
+def alberg_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve on 101 points."""
+    return effort.alberg(_rows(spark, sf_dir), ["seed"], KEY).withColumn("share", F.round("share", 4))
 
 
 @query(_P + """, c AS (SELECT seed, count(*) FILTER (y = 1 AND p >= 0.5) / count(*) FILTER (y = 1) AS se, count(*) FILTER (y = 0 AND p < 0.5) / count(*) FILTER (y = 0) AS sp FROM t GROUP BY seed)

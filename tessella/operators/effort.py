@@ -53,7 +53,7 @@ def rank_metrics(rows: DataFrame, by: Sequence[str], key: Sequence[str], budget:
     return out.select(*by, "recall_at_budget", "pci_at_budget", ratio(F.col("a") - F.col("w"), F.col("b") - F.col("w"), None).alias("popt"), "ifa", "precision_at_top")
 
 
-def alberg(rows: DataFrame, by: Sequence[str], key: Sequence[str], points: int = 11) -> DataFrame:
+def alberg(rows: DataFrame, by: Sequence[str], key: Sequence[str], points: int = 101) -> DataFrame:
     """Share of positives found at even shares of effort, interpolated between inspected rows."""
     held = _said(rows, by, key, -F.col("p")).where("all_pos > 0")
     x1, p1 = F.col("x") / F.col("all_effort"), F.col("p_up") / F.col("all_pos")
