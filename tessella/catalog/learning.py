@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.catalog import query
-from tessella.operators import metrics, models, splits, text
-from tessella.views import predictions, read, snippets, with_views
+from tessella.operators import conditional, metrics, models, splits, text
+from tessella.views import predictions, read, reviews, snippets, with_views
 
 _N = with_views("snippets")
 
@@ -120,3 +120,13 @@ def learned_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = told.join(F.broadcast(cut), "seed").withColumn("routed", F.col("p") > F.col("cut"))  # a row for each seed
     after = F.when(F.col("routed"), F.col("prob2")).otherwise(F.col("prob")) >= 0.5
     return routed.groupBy("seed").agg(F.count("*").alias("n"), F.count_if("routed").alias("routed"), F.count_if((F.col("prob") >= 0.5) == (F.col("y") == 1)).alias("right_before"), F.count_if(after == (F.col("y") == 1)).alias("right_after"))
+
+
+@query()
+def reviewer_adjusted_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether groups of reviewers differ once units and the order of reviews in them are taken into account."""
+    order = Window.partitionBy("smell", "sample").orderBy("ts", "id")
+    rows = reviews(spark, sf_dir).where("severity is not null and smell < 2")
+    held = rows.select((F.col("sample") * 4 + F.col("smell")).alias("unit"), (F.col("reviewer") % 6).alias("reviewer"), (F.col("severity") > 0).cast("int").alias("y"), (F.row_number().over(order) > 1).cast("double").alias("later"))
+    got = conditional.reviewer_test(held, "unit", "reviewer", "y", ["later"], 5)
+    return spark.createDataFrame([(got["reviewers"], got["dof"], round(got["statistic"], 4), round(got["p"], 4), got["units"])], "reviewers int, dof int, statistic double, p double, units int")

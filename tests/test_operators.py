@@ -5,11 +5,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import scalar, tails
-from tessella.operators import agreement, effort, graph, java, labels, metrics, models, neighbours, ranges, resampling, similarity, splits, statistics, text, thresholds, variants
+from tessella.operators import agreement, conditional, effort, graph, java, labels, metrics, models, neighbours, ranges, resampling, similarity, splits, statistics, text, thresholds, variants
 from tessella.operators.components import components
 
 REVIEW = "id long, sample long, smell long, reviewer long, ts timestamp_ntz, severity int"
@@ -383,3 +384,41 @@ def test_draws_have_as_many_picks_as_units(spark):
     units = spark.createDataFrame([("a", i) for i in range(7)] + [("b", i) for i in range(3)], "c string, u int")
     got = resampling.drawn(units, ["c"], "u", 20).groupBy("c", "draw").agg(F.sum("times").alias("n")).collect()
     assert Counter((r.c, r.n) for r in got) == Counter({("a", 7): 20, ("b", 3): 20})
+
+
+def test_conditional_likelihood_by_all_choices():
+    rng = np.random.default_rng(2)
+
+    def value(x, y, beta):
+        w = np.exp(x @ beta)
+        every = sum(np.prod(w[list(c)]) for c in itertools.combinations(range(len(y)), int(y.sum())))
+        return np.log(np.prod(w[y == 1]) / every)
+
+    for _ in range(20):
+        m = int(rng.integers(2, 7))
+        y = np.zeros(m, int)
+        y[: int(rng.integers(1, m))] = 1
+        x, beta = rng.normal(size=(m, 3)), rng.normal(size=3)
+        got, gradient, curve = conditional.unit_terms(x, y, beta)
+        assert got == pytest.approx(value(x, y, beta))
+        for i, step in enumerate(1e-5 * np.eye(3)):
+            assert gradient[i] == pytest.approx((value(x, y, beta + step) - value(x, y, beta - step)) / 2e-5, abs=1e-6)
+            slope = (conditional.unit_terms(x, y, beta + step)[1] - conditional.unit_terms(x, y, beta - step)[1]) / 2e-5
+            assert curve[i] == pytest.approx(-slope, abs=1e-5)
+
+
+def test_conditional_fit_finds_effects(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for u in range(300):
+        base = rng.normal()
+        for k in range(4):
+            x = float(rng.normal())
+            rows.append((u, x, k % 2, int(rng.random() < 1 / (1 + np.exp(-(base + 1.5 * x))))))
+    df = spark.createDataFrame(rows, "u int, x double, r int, y int")
+    found = conditional.fit(df, "u", "y", ["x"])
+    assert found.beta[0] == pytest.approx(1.5, abs=0.35)
+    assert found.deviance < conditional.fit(df, "u", "y", []).deviance
+    assert conditional.reviewer_test(df, "u", "r", "y", ["x"], 5)["p"] > 0.001
+    biased = df.withColumn("y", F.when(F.col("r") == 1, F.greatest("y", (F.col("u") % 3 != 0).cast("int"))).otherwise(F.col("y")))
+    assert conditional.reviewer_test(biased, "u", "r", "y", ["x"], 5)["p"] < 1e-4
