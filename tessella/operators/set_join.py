@@ -327,7 +327,7 @@ def tiled(rows: DataFrame, percent: int = 90) -> DataFrame:
 
 def met(rows: DataFrame, key: str, column: str, make: Maker, rule: Rule, marks: DataFrame, copies: DataFrame) -> DataFrame:
     """A row for each tile pair that a set takes part in: block, b1, t1, b2, t2, side, node, first, copies, blocks, set."""
-    blocks = row_blocks(agreeing(marks), rule).select(F.col("node").alias("of"), "block")
+    blocks = cut(row_blocks(agreeing(marks), rule)).select(F.col("node").alias("of"), "block")  # read twice
     in_blocks = tiled(copies.join(blocks, F.col("node") == F.col("of")).select("node", "first", "n", "copies", "block"), rule.percent)
     # as many blocks as a node has marks, 160 at most
     wanted = in_blocks.groupBy("node", "first", "copies").agg(F.sort_array(F.collect_list("block")).alias("blocks"), F.flatten(F.collect_list("units")).alias("units"))
