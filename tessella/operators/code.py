@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import java
+from tessella.operators.filters import top_of
+
 #: What a fragment must begin with to be a type of its own.
 TYPE = r"(?s)^\s*(?:(?:public|protected|private|abstract|final|static|strictfp)\s+)*(?:class|interface|enum)\b"
 
@@ -85,6 +88,25 @@ def composed_features(kinds: Column, known: int, numbers: Sequence[Column], toke
     return F.concat(indicator, F.array(*[x.cast("double") for x in numbers]), F.transform(tokens, lambda x: x.cast("double")))
 
 
+def context_packages(rows: DataFrame, key: str, text: str, most: int = 20) -> DataFrame:
+    """(key, type, package): what a judge is shown of a text's surroundings, as JSON: its first type, the types of other texts it names, the types that name it, its skeleton.
+
+    Lists hold the first `most` names; only so many of a task's go to the shuffle, so a type that
+    everyone uses doesn't gather all its users.
+    """
+    found = java.nodes(rows, key, text)
+    declared = found.where((F.col("node_kind") == "rule") & F.col("node_type").isin(*java.TYPES))
+    own = declared.groupBy(key).agg(F.min_by("token_text", "node_index").alias("type"))
+    named = found.where("node_kind = 'token' and node_type = 'word'").where(F.col("token_text").rlike("^[A-Z]")).select(key, F.col("token_text").alias("name")).distinct()
+    known = declared.select(F.col(key).alias("_of"), F.col("token_text").alias("name")).distinct()
+    met = named.join(known, "name").where(F.col(key) != F.col("_of"))
+    users = met.join(own.select(F.col(key).alias("_user"), F.col("type").alias("by")), F.col(key) == F.col("_user"))
+    lists = lambda df, by, name, out: top_of(df.select(by, name).distinct(), [by], [F.col(name)], most).groupBy(F.col(by).alias(key)).agg(F.sort_array(F.collect_list(name)).alias(out))
+    none = F.array().cast("array<string>")
+    held = rows.select(key, java.skeleton_column(text).alias("skeleton")).join(own, key, "left").join(lists(met, key, "name", "references"), key, "left").join(lists(users, "_of", "by", "usages"), key, "left")
+    return held.select(key, "type", F.to_json(F.struct("type", F.coalesce("references", none).alias("references"), F.coalesce("usages", none).alias("usages"), "skeleton")).alias("package"))
+
+
 def access_lines(rows: DataFrame, key: str, text: str, names: Column) -> DataFrame:
     """(key, line_no): lines of a text that access a member of one of `names`, an array of words."""
     lines = rows.select(key, names.alias("_names"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
