@@ -37,21 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/checkpoints"
 
 
+#: What was written for this session alone, to be removed when the driver's Python ends.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` behind a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
+        _WRITTEN.append((df.sparkSession, sc.getCheckpointDir()))  # a folder of this session's own below the shared one
     return df.checkpoint(eager=True)
 
 
-#: What `stored` has written, to be removed when the driver's Python ends.
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
 @atexit.register
 def sweep() -> None:
-    """Removes what `stored` has written; frames that read it can't be used after that."""
+    """Removes what `cut`, `stored` and `scratch` have written; frames that read it can't be used after that."""
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         with contextlib.suppress(Exception):  # the session may be gone; the folder is scratch

@@ -11,7 +11,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).parent.parent))
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[*]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
