@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.catalog import query
 from tessella.catalog.draws import uniform_sql
 from tessella.functions import scalar, tails
-from tessella.operators import code, effort, filters, joins, metrics, splits, statistics, summaries, thresholds
+from tessella.operators import code, effort, filters, joins, metrics, neighbours, splits, statistics, summaries, thresholds
 from tessella.views import predictions, read, reviews, scores, snippets, with_views
 
 _P = with_views("predictions")
@@ -429,3 +429,14 @@ def region_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = rows.groupBy("region").agg(F.count_if(y & hard).alias("a"), F.count_if(y & ~hard).alias("b"), F.count_if(~y & hard).alias("c"), F.count_if(~y & ~hard).alias("d"))
     p = F.udf(tails.fisher, "double")  # a row for each region
     return c.select("region", F.col("a").alias("both_hold"), F.round(scalar.ratio(F.col("a") * F.col("d"), F.col("b") * F.col("c"), None), 6).alias("odds_ratio"), F.round(p("a", "b", "c", "d"), 6).alias("p"))
+
+
+@query(_P + """, t AS (SELECT k1 * 10000000 + k3 * 1000 + k2 * 100 + k4 % 100 AS id, fold, y, effort, prob2 * 10 AS d FROM predictions WHERE part = 'val' AND seed = 1 AND k4 % 3 = 0),
+  c AS (SELECT covar_samp(effort, effort) AS a, covar_samp(effort, d) AS b, covar_samp(d, d) AS e FROM t), i AS (SELECT e / (a * e - b * b) AS ia, -b / (a * e - b * b) AS ib, a / (a * e - b * b) AS ie FROM c),
+  j AS (SELECT p.id, sqrt(ia * pow(p.effort - n.effort, 2) + 2 * ib * (p.effort - n.effort) * (p.d - n.d) + ie * pow(p.d - n.d, 2)) AS far FROM t p JOIN t n ON n.fold = p.fold AND p.y = 1 AND n.y = 0 AND abs(p.effort - n.effort) <= 2 CROSS JOIN i)
+  SELECT id, round(min(far), 4) AS distance FROM j GROUP BY id""")
+def mahalanobis_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each positive is from its nearest negative of the fold, by two correlated numbers."""
+    number = F.col("k1") * 10000000 + F.col("k3") * 1000 + F.col("k2") * 100 + F.col("k4") % 100
+    rows = predictions(spark, sf_dir).where("part = 'val' and seed = 1 and k4 % 3 = 0").select(number.alias("id"), "fold", "y", "effort", (F.col("prob2") * 10).alias("d"))
+    return neighbours.mahalanobis(rows, "id", "fold", ["effort", "d"], "effort", 2.0).select("id", F.round("distance", 4).alias("distance"))

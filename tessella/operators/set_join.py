@@ -167,8 +167,8 @@ def reachable_rows(row: np.ndarray, column: np.ndarray, sizes: np.ndarray, side:
     return row, column
 
 
-def linked_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int = 90) -> tuple[np.ndarray, np.ndarray]:
-    """All i and j of linked rows, i < j; with sides 1 and 2, only pairs of rows on different sides.
+def linked_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int = 90) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All i and j of linked rows, i < j, and their overlaps; with sides 1 and 2, only pairs of rows on different sides.
 
     The columns of the tiles' incidence matrices are ordered by the first row that has them and
     parted into blocks; of each block only the rows that have anything in it are multiplied.
@@ -177,7 +177,7 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int = 90) ->
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     row, column = reachable_rows(np.repeat(np.arange(len(sets)), sizes), column, sizes, side, percent)
     if not len(row):
-        return row, row
+        return row, row, row
     there, row = np.unique(row, return_inverse=True)
     sizes, side = sizes[there], side[there]
     first = np.full(int(column.max()) + 1, len(there))
@@ -201,8 +201,9 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int = 90) ->
     linked = overlap >= least_overlap(sizes[:, None], sizes[None, :], percent)
     i, j = np.nonzero(linked & (overlap > 0))
     keep = i != j if side.any() else i < j
+    both = overlap[i[keep], j[keep]].astype(np.int64)
     i, j = there[i[keep]], there[j[keep]]
-    return np.minimum(i, j), np.maximum(i, j)
+    return np.minimum(i, j), np.maximum(i, j), both
 
 
 def met_before(i: np.ndarray, j: np.ndarray, blocks: list[np.ndarray], this: int) -> np.ndarray:
@@ -359,13 +360,13 @@ def _lists(column: pa.ChunkedArray, at: np.ndarray) -> list[np.ndarray]:
     return [values[offsets[i] : offsets[i + 1]] for i in at]
 
 
-def tile_links(table: pa.Table, percent: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Of one tile pair: the rows that count, their sets, and the places i and j among them of each linked pair that no smaller row block has."""
+def tile_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one tile pair: the rows that count, their sizes, and the places i and j among them and the overlap of each linked pair that no smaller row block has."""
     _, at = np.unique(table.column("node").to_numpy(), return_index=True)  # repeated rows of a key bring a set twice
     held = [x.view(np.uint64) for x in _lists(table.column("set"), at)]
-    i, j = linked_pairs(held, table.column("side").to_numpy()[at], percent)
+    i, j, both = linked_pairs(held, table.column("side").to_numpy()[at], percent)
     new = ~met_before(i, j, _lists(table.column("blocks"), at), table.column("block")[0].as_py())
-    return at, held, i[new], j[new]
+    return at, np.array([len(x) for x in held], np.int64), i[new], j[new], both[new]
 
 
 TILED = ("block", "b1", "t1", "b2", "t2")
@@ -382,10 +383,8 @@ def pairs(rows: DataFrame, key: str, column: str, make: Maker, rule: Rule = RULE
     kind = rows.schema[key].dataType.simpleString()
 
     def product(table: pa.Table) -> pa.Table:
-        at, held, i, j = tile_links(table, rule.percent)
+        at, sizes, i, j, both = tile_links(table, rule.percent)
         first = table.column("first").combine_chunks().take(at)
-        both = np.array([len(np.intersect1d(held[x], held[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
-        sizes = np.array([len(x) for x in held], np.int64)
         return pa.table({"x": first.take(i), "y": first.take(j), "both": both, "either": sizes[i] + sizes[j] - both})
 
     units = met(rows, key, column, make, rule, marks, distinct_sets(marks))
@@ -403,7 +402,7 @@ def classes(rows: DataFrame, key: str, column: str, make: Maker, rule: Rule = RU
 
     def product(table: pa.Table) -> pa.Table:
         """Each row's root among the rows it is connected with here, and its links here."""
-        at, _, i, j = tile_links(table, rule.percent)
+        at, _, i, j, _ = tile_links(table, rule.percent)
         nodes, times = table.column("node").to_numpy()[at], table.column("copies").to_numpy()[at]
         links = np.zeros(len(at), np.int64)
         np.add.at(links, i, times[j])
