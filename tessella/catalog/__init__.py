@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules whose queries are offered.
-MODULES = ("labels", "metrics", "ranking", "statistics", "texts", "structure", "judging", "linking", "studies", "files", "draws", "more", "sources", "live", "learning")
+MODULES = ("labels", "metrics", "ranking", "statistics", "texts", "structure", "judging", "linking", "studies", "files", "draws", "more", "sources", "live", "learning", "details")
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 

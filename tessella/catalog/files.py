@@ -145,7 +145,7 @@ def scan_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = F.transform(F.sequence(F.lit(2), F.size("n")), lambda i: F.concat(F.lit("  n"), F.element_at("n", i - 1)["n_nationkey"].cast("string"), F.lit(" -> n"), F.element_at("n", i)["n_nationkey"].cast("string"), F.lit(' [edge_type="NextToken"];')))
     lines = of.select(F.concat(F.lit("idx_"), F.col("n_regionkey").cast("string")).alias("graph"), F.explode(F.concat(F.array(F.lit("digraph G {")), nodes, F.when(F.size("n") > 1, edges).otherwise(F.array().cast("array<string>")), F.array(F.lit("}")))).alias("value"))
     lines.write.partitionBy("graph").text(path)
-    found = readers.dot_lines(spark, f"{path}/graph=*/*.txt")
+    found = readers.with_nodes(readers.dot_lines(spark, f"{path}/graph=*/*.txt"))
     named = F.char_length(F.regexp_replace(F.col("attributes")["token_text"], r'\\"q$', "")).cast("long")
     n = readers.dot_nodes(found).groupBy("json_index").agg(F.count("*").alias("nodes"), F.sum(named).alias("name_chars"), F.min(F.col("attributes")["node_index"].cast("long")).alias("first_node"))
     return n.join(readers.dot_edges(found).groupBy("json_index").agg(F.count("*").alias("edges")), "json_index", "left").na.fill(0, ["edges"])

@@ -34,7 +34,8 @@ def holm(tests: DataFrame, p: str, key: Sequence[str]) -> DataFrame:
 
 def spearman(rows: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     both = ranked(ranked(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()), by, a, "_a"), by, b, "_b")
-    return both.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho"))
+    # null where one of them doesn't vary
+    return both.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")).alias("rho"))
 
 
 def smd(rows: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:

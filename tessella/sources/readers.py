@@ -113,6 +113,14 @@ def dot_nodes(lines: DataFrame) -> DataFrame:
     return held.select("file", "json_index", F.regexp_extract("line", _NODE, 1).alias("node"), _attributes(F.regexp_extract("line", _NODE, 2)).alias("attributes"))
 
 
+def with_nodes(lines: DataFrame) -> DataFrame:
+    """`lines`; a file without a node is an error when they are read."""
+    node = F.col("line").rlike(_NODE) & ~F.col("line").rlike(r"^\s*(graph|node|edge)\b")
+    counts = lines.groupBy(F.col("file").alias("_file")).agg(F.count_if(node).alias("_n"))
+    checked = F.when(F.col("_n") == 0, F.raise_error(F.concat(F.lit("no nodes in "), F.col("file"))).cast("boolean")).otherwise(True)
+    return lines.join(counts, F.col("file") == F.col("_file")).where(checked).drop("_file", "_n")
+
+
 def dot_edges(lines: DataFrame) -> DataFrame:
     held = lines.where(F.col("line").rlike(_EDGE))
     part = lambda k: F.regexp_extract("line", _EDGE, k)
@@ -174,14 +182,16 @@ def insert_tuples(statement: str) -> Iterator[list[str | None]]:
 
 
 def mysql_table(spark: SparkSession, path: str, name: str, columns: Sequence[str]) -> DataFrame:
-    """Rows of one table of a MySQL dump, all columns as text; a statement is one line, as dumps write them."""
+    """Rows of one table of a MySQL dump, all columns as text; a statement is one line, as dumps write them. A row of another width is an error."""
     head = f"INSERT INTO `{name}`"
     lines = spark.read.text(expanded(spark, path)).where(F.col("value").startswith(head))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for line in batch.column(0).to_pylist():
-                found = [r for r in insert_tuples(line) if len(r) == len(columns)]
+                found = list(insert_tuples(line))
+                if wrong := next((r for r in found if len(r) != len(columns)), None):
+                    raise ValueError(f"{name}: {len(wrong)} values for {len(columns)} columns")
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.string()) for k in range(len(columns))], list(columns))
 
     return lines.mapInArrow(rows, ", ".join(f"`{c}` string" for c in columns))
