@@ -37,6 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     before, now = None, state(e)
     while now != before:
-        e = cut(star(star(e, True), False))
+        e = cut(star(star(e, True), False), now[0])  # stars don't add edges
         before, now = now, state(e)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

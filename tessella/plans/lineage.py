@@ -41,9 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` behind a reliable checkpoint in the shared folder."""
+#: Rows of one checkpoint file, where it is known about how many there are.
+FILE_ROWS = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df` behind a reliable checkpoint in the shared folder; with about how many `rows` it has, in no more files than these need."""
     sc = df.sparkSession.sparkContext
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
         _WRITTEN.append((df.sparkSession, sc.getCheckpointDir()))  # a folder of this session's own below the shared one
