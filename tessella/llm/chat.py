@@ -53,7 +53,7 @@ def _doubled(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         # only rows that haven't come to a root take part
         far = done.unionAll(active).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
         joined = active.join(far, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")))
-        links = cut(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")))
+        links = cut(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")), n)
         done, active = done.unionAll(links.where("up is null")), links.where("up is not null")
     return done, hops
 
