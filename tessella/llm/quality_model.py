@@ -4,7 +4,8 @@ P(grade <= k) = logistic(threshold k - w . x) with one weight for each hashed wo
 text, shared by all grades, and ordered thresholds. The expected grade is the sum of the tail
 probabilities; a text is kept if the probability of the best grade is at least the model's `least`.
 
-A text's features are the words it has, each once, and bins of a few traits of the whole text.
+A text's features are the words it has, each once, and bins of a few traits of the whole text, each
+TRAIT times, so that the words of a long text don't outweigh them.
 Training takes at most about `bound` texts of each grade (default 2500), drawn by a hash of their
 key; features that fewer than `times` of these have (default 5) get no weight. All three are
 parameters. One in HELD of the drawn texts, by another hash, is held out: a model of the others
@@ -33,6 +34,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from tessella.llm.common import text_bytes
 
 GRADES = 3
+#: How many words a trait weighs as much as.
+TRAIT = 8
 #: Words are hashed to so many bits.
 BITS = 24
 #: The least probability of the best grade where too few texts are held out to choose one. Grades weigh
@@ -78,7 +81,7 @@ def features(raw: bytes, hashed: Hashed) -> list[int]:
     if not words:
         return []
     distinct = set(words)
-    return [*{hashed[w] for w in distinct}, *(hashed[t] for t in traits(raw, words, len(distinct)))]
+    return [*{hashed[w] for w in distinct}, *(hashed[t] for t in traits(raw, words, len(distinct)) for _ in range(TRAIT))]
 
 
 @dataclass
