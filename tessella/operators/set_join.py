@@ -23,8 +23,8 @@ as many marks and one, 5, which fails with a chance below 1e-8. Equal sets are l
 set and its size. Sets below `blocked` are found by their first hashes in order, one of which a
 linked pair always has in common.
 
-Scale. Only marks are shuffled, 160 for a set at most, never whole sets; rows that no row block
-wants stay where they are. Marks that many rows have are found in a sample of the rows, MOST_HOT at
+Scale. Marks are shuffled, 160 for a set at most; whole sets travel only from rows that a row block
+wants, once to each pair of tiles, and all other rows stay where they are. Marks that many rows have are found in a sample of the rows, MOST_HOT at
 most, and represented by the smallest sampled row; this is broadcast, so that no task gets all rows
 of a mark.
 """
