@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import padded
+from tessella.plans.lineage import cut
 
 #: What counts as one token of code. Letters of any script continue an identifier, and numbers have the digits of any script.
 TOKEN = r"""[a-zA-Z_][\p{L}\p{N}_]*|[{}()\[\];,.<>=!&|+\-*/:%^~?@#]|"[^"]*"|'[^']*'|\p{Nd}+"""
@@ -32,12 +33,25 @@ def tokens(text: Column, cap: int | None = 512) -> Column:
 
 
 def vocabulary(rows: DataFrame, text: str, order: str, size: int = 10_000, least: int = 2, cap: int = 512) -> DataFrame:
-    """(token, id, n): the size - 2 most frequent tokens, of these the ones that occur `least` times; earlier tokens first at equal counts."""
-    seen = rows.select(F.col(order).alias("o"), F.posexplode(tokens(F.col(text), cap)).alias("at", "token"))
-    counts = seen.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("o", "at")).alias("first"))
-    top = counts.orderBy(F.desc("n"), "first").limit(size - 2)  # bounded from here on
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "first"))
-    return top.where(F.col("n") >= least).select("token", (rank + 1).cast("long").alias("id"), "n")
+    """(token, id, n): the size - 2 most frequent tokens, of these the ones that occur `least` times; earlier tokens first at equal counts. Rows without an order are left out.
+
+    Counts and the first text of each token add up in hash tables; where in that text a token stands only
+    matters for the few that may be taken, so only their first texts are read again.
+    """
+    plain = rows.where(F.col(order).isNotNull()).select(F.col(order).alias("o"), F.col(text).alias("t"))
+    seen = plain.select("o", F.explode(tokens(F.col("t"), cap)).alias("token"))
+    counts = cut(seen.groupBy("token").agg(F.count("*").alias("n"), F.min("o").alias("o1")).where(F.col("n") >= least))
+    last = counts.orderBy(F.desc("n"), "o1").limit(size - 2).agg(F.max(F.struct((-F.col("n")).alias("m"), "o1")).alias("x")).first().x
+    if last is None:
+        return counts.select("token", F.lit(0).cast("long").alias("id"), "n").where("false")
+    # the taken ones and those of one text that have the same count as the last
+    held = counts.where((F.col("n") > -last.m) | ((F.col("n") == -last.m) & (F.col("o1") <= F.lit(last.o1))))
+    firsts = held.select(F.col("o1").alias("of")).distinct()
+    again = plain.join(F.broadcast(firsts), F.col("o") == F.col("of"), "left_semi").select("o", F.posexplode(tokens(F.col("t"), cap)).alias("at", "token"))
+    places = again.join(F.broadcast(held), "token").where(F.col("o") == F.col("o1")).groupBy("token", "n", "o1").agg(F.min("at").alias("at"))
+    top = places.orderBy(F.desc("n"), "o1", "at").limit(size - 2)  # bounded from here on
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "o1", "at"))
+    return top.select("token", (rank + 1).cast("long").alias("id"), "n")
 
 
 def encoded(rows: DataFrame, key: str, text: str, vocab: DataFrame, length: int = 512) -> DataFrame:
