@@ -78,7 +78,7 @@ def passages_of(rows: DataFrame, reference: DataFrame, key: str, text: str, ref_
 
         def hashes(w: Column) -> Column:
             n = F.size(w) - words
-            return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, words), " "))))
+            return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(words)])))
 
         # bound by an outer lambda, so that a text is split once
         return df.select(k, F.explode(F.array_distinct(F.transform(F.array(said), hashes)[0])).alias("run"))
