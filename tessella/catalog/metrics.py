@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.catalog import query
+from tessella.functions.scalar import rounded
 from tessella.operators import metrics, statistics, thresholds
 from tessella.views import predictions, scores, with_views
 
@@ -19,7 +20,7 @@ def _test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in names})
+    return df.withColumns({c: rounded(c) for c in names})
 
 
 _T = _S + ", t AS (SELECT * FROM scores WHERE part = 'test')"
