@@ -91,9 +91,9 @@ def attribution_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of reviewers (no gap above a day) by what they hold."""
     order = Window.partitionBy("reviewer").orderBy("ts", "id")
-    gap = F.unix_timestamp("ts") - F.lag(F.unix_timestamp("ts")).over(order)
+    gap = F.col("ts") - F.lag("ts").over(order)  # to the microsecond
     rows = reviews(spark, sf_dir).withColumn("_gap", gap)
-    begun = F.sum(F.when(F.col("_gap").isNull() | (F.col("_gap") > 86400), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    begun = F.sum(F.when(F.col("_gap").isNull() | (F.col("_gap") > F.expr("INTERVAL 1 DAY")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     each = rows.withColumn("session", begun).groupBy("reviewer", "session").agg(F.count("*").alias("n"), F.countDistinct("smell").alias("smells"))
     kind = F.when(F.col("n") == 1, "single").when(F.col("smells") == 1, "one smell").otherwise("mixed").alias("kind")
     return each.groupBy(kind).agg(F.count("*").alias("sessions"), F.sum("n").alias("reviews"))
