@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.ordered import quantiles, same_cells
+
 
 def dynamics(rows: DataFrame, by: Sequence[str], item: str = "item") -> DataFrame:
     """Of rows (by, item, epoch, y, p): mean and population deviation of the probability of the label, and the share of right epochs; by item first, then the mean over items."""
@@ -16,7 +18,7 @@ def dynamics(rows: DataFrame, by: Sequence[str], item: str = "item") -> DataFram
 
 
 def regions(samples: DataFrame, by: Sequence[str], low: float = 0.25, high: float = 0.75, vary: float = 0.75) -> DataFrame:
-    """`region` by quantiles of the group: ambiguous before hard before easy before other."""
-    cuts = samples.groupBy(*by).agg(F.percentile("confidence", F.lit(low)).alias("_low"), F.percentile("confidence", F.lit(high)).alias("_high"), F.percentile("variability", F.lit(vary)).alias("_vary"))
+    """`region` by quantiles of the group: ambiguous before hard before easy before other. `samples` is read more than once."""
+    cuts = same_cells(quantiles(samples, by, "confidence", {"_low": low, "_high": high}), quantiles(samples, by, "variability", {"_vary": vary}), by)
     region = F.when(F.col("variability") > F.col("_vary"), "ambiguous").when(F.col("confidence") <= F.col("_low"), "hard").when(F.col("confidence") >= F.col("_high"), "easy").otherwise("other")
     return samples.join(cuts, [*by]).withColumn("region", region).drop("_low", "_high", "_vary")
