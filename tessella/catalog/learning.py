@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.catalog import query
-from tessella.operators import conditional, metrics, models, splits, text
+from tessella.operators import conditional, metrics, models, skipgram, splits, text
 from tessella.views import predictions, read, reviews, snippets, with_views
 
 _N = with_views("snippets")
@@ -46,8 +46,7 @@ _TOKEN = text.TOKEN.replace("'", "''")
 def attached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skip-gram vectors of tokens that occur twice, averaged over each text, with the share of tokens without one."""
     rows = snippets(spark, sf_dir).select(F.col("json_index").cast("long").alias("json_index"), text.tokens(F.col("code")).alias("tokens")).where(F.size("tokens") > 0)
-    vectors = models.word_vectors(rows, "tokens", 16, 2)
-    return models.mean_vector(rows, "json_index", "tokens", vectors, 16).select("json_index", F.round("unknown", 6).alias("unknown"), F.size("vector").alias("width"))
+    return skipgram.text_vectors(rows, "json_index", "tokens", 16, 2).select("json_index", F.round("unknown", 6).alias("unknown"), F.size("vector").alias("width"))
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,18 +101,6 @@ def evolve(rows: DataFrame, columns: Sequence[str], label: str, generations: int
     return scored[0][1]
 
 
-def word_vectors(rows: DataFrame, tokens: str, size: int = 32, least: int = 2) -> DataFrame:
-    """(word, vector) by skip-gram over token lists."""
-    return Word2Vec(vectorSize=size, minCount=least, inputCol=tokens, outputCol="_v", seed=0, maxIter=1).fit(rows).getVectors()
-
-
-def mean_vector(rows: DataFrame, key: str, tokens: str, vectors: DataFrame, size: int) -> DataFrame:
-    """(key, vector, unknown): mean vector of a row's tokens, and the share of tokens without one."""
-    each = rows.select(key, F.explode_outer(tokens).alias("word")).join(vectors.select("word", vector_to_array("vector").alias("v")), "word", "left")
-    mean = [F.coalesce(F.avg(F.col("v")[i]), F.lit(0.0)) for i in range(size)]
-    return each.groupBy(key).agg(F.array(*mean).alias("vector"), F.avg(F.col("v").isNull().cast("double")).alias("unknown"))
-
-
 def linear_contributions(weights: dict[str, float]) -> Column:
     """Each feature's part of a linear score."""
     return F.map_from_arrays(F.array(*map(F.lit, weights)), F.array(*[F.col(c) * w for c, w in weights.items()]))
