@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.catalog import query
+from tessella.functions.scalar import rounded
 from tessella.operators import conditional, metrics, models, skipgram, splits, text
 from tessella.views import predictions, read, reviews, snippets, with_views
 
@@ -41,12 +42,12 @@ def linear_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKEN = text.TOKEN.replace("'", "''")
 
 
-@query(_N + f""", w AS (SELECT json_index, unnest(regexp_extract_all(coalesce(code, ''), '{_TOKEN}')[1:512]) AS t FROM snippets), v AS (SELECT t FROM w GROUP BY t HAVING count(*) >= 2)
+@query(_N + f""", w AS (SELECT json_index, unnest(regexp_extract_all(coalesce(code, ''), '{_TOKEN}')) AS t FROM snippets), v AS (SELECT t FROM w GROUP BY t HAVING count(*) >= 2)
   SELECT CAST(w.json_index AS BIGINT) AS json_index, round(avg(CASE WHEN v.t IS NULL THEN 1.0 ELSE 0.0 END), 6) AS unknown, 16 AS width FROM w LEFT JOIN v ON v.t = w.t GROUP BY w.json_index""")
 def attached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skip-gram vectors of tokens that occur twice, averaged over each text, with the share of tokens without one."""
-    rows = snippets(spark, sf_dir).select(F.col("json_index").cast("long").alias("json_index"), text.tokens(F.col("code")).alias("tokens")).where(F.size("tokens") > 0)
-    return skipgram.text_vectors(rows, "json_index", "tokens", 16, 2).select("json_index", F.round("unknown", 6).alias("unknown"), F.size("vector").alias("width"))
+    rows = snippets(spark, sf_dir).select(F.col("json_index").cast("long").alias("json_index"), text.tokens(F.col("code")).alias("tokens"))
+    return skipgram.text_vectors(rows, "json_index", "tokens", 16, 2).select("json_index", rounded("unknown").alias("unknown"), F.size("vector").alias("width")).where("unknown is not null")
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:

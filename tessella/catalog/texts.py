@@ -76,7 +76,7 @@ _TOKENS = _S + f", k AS (SELECT json_index, level, regexp_extract_all(coalesce(c
 
 @query(_TOKENS + " SELECT json_index, CAST(least(512, len(w)) AS BIGINT) AS n, md5(array_to_string(w[1:512], ' ')) AS digest FROM k")
 def token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = text.tokens(F.col("code"))
+    t = text.tokens(F.col("code"), 512)
     return snippets(spark, sf_dir).select("json_index", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ").cast("binary")).alias("digest"))
 
 

@@ -27,7 +27,8 @@ KINDS = {
 }
 
 
-def tokens(text: Column, cap: int | None = 512) -> Column:
+def tokens(text: Column, cap: int | None = None) -> Column:
+    """All tokens of a text in order, or the first `cap`."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     return found if cap is None else F.slice(found, 1, cap)
 
@@ -74,7 +75,7 @@ def encoded(rows: DataFrame, key: str, text: str, vocab: DataFrame, length: int
 
 
 def chunk_stats(rows: DataFrame, by: Sequence[str], text: str, chunk: int = 512) -> DataFrame:
-    n = F.size(tokens(F.col(text), None))
+    n = F.size(tokens(F.col(text)))
     held = rows.withColumn("_n", n).withColumn("_chunks", F.greatest(F.lit(1), F.ceil(F.col("_n") / chunk)).cast("long"))
     return held.groupBy(*by).agg(F.count("*").alias("texts"), F.sum("_n").cast("long").alias("tokens"), F.max("_n").cast("long").alias("longest"), F.sum("_chunks").alias("chunks"), F.count_if(F.col("_chunks") > 1).alias("chunked"))
 
@@ -98,7 +99,7 @@ def sizes(text: Column) -> dict[str, Column]:
     """Counts that the text alone gives: lines, lines with more than white space, characters, tokens."""
     t = F.coalesce(text, F.lit(""))
     parts = F.split(t, "\n", -1)
-    return {"loc_physical": F.size(parts).cast("long"), "loc_nonblank": F.size(F.filter(parts, lambda x: x.rlike(r"[^ \t\r\f\x0B]"))).cast("long"), "chars": F.char_length(t).cast("long"), "n_tokens": F.size(tokens(t, None)).cast("long")}
+    return {"loc_physical": F.size(parts).cast("long"), "loc_nonblank": F.size(F.filter(parts, lambda x: x.rlike(r"[^ \t\r\f\x0B]"))).cast("long"), "chars": F.char_length(t).cast("long"), "n_tokens": F.size(tokens(t)).cast("long")}
 
 
 def blank_removed(text: Column) -> Column:
