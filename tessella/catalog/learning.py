@@ -46,7 +46,10 @@ _TOKEN = text.TOKEN.replace("'", "''")
   SELECT CAST(w.json_index AS BIGINT) AS json_index, round(avg(CASE WHEN v.t IS NULL THEN 1.0 ELSE 0.0 END), 6) AS unknown, 16 AS width FROM w LEFT JOIN v ON v.t = w.t GROUP BY w.json_index""")
 def attached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skip-gram vectors of tokens that occur twice, averaged over each text, with the share of tokens without one."""
-    rows = snippets(spark, sf_dir).select(F.col("json_index").cast("long").alias("json_index"), text.tokens(F.col("code")).alias("tokens"))
+    # labels only matter where they repeat a text; without such, texts don't move to meet them
+    again = read(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    found = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("json_index"), F.col("text").alias("code")) if again.isEmpty() else snippets(spark, sf_dir)
+    rows = found.select(F.col("json_index").cast("long").alias("json_index"), text.tokens(F.col("code")).alias("tokens"))
     return skipgram.text_vectors(rows, "json_index", "tokens", 16, 2).select("json_index", rounded("unknown").alias("unknown"), F.size("vector").alias("width")).where("unknown is not null")
 
 
